@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .langid import op1_language_id
 from .simhash import op2_simhash
 
-QUERIES = {"op2_simhash": op2_simhash}
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_simhash": op2_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
