@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .langid import op1_language_id
+from .packing import op3_packing
 from .simhash import op2_simhash
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
