@@ -5,11 +5,13 @@ from __future__ import annotations
 from .langid import op1_language_id
 from .packing import op3_packing
 from .simhash import op2_simhash
+from .urls import op10_url_filter
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {}
