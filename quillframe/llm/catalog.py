@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .langid import op1_language_id
 from .packing import op3_packing
+from .secrets import op4_secrets
 from .simhash import op2_simhash
 from .urls import op10_url_filter
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_secrets": op4_secrets,
     "op10_url_filter": op10_url_filter,
 }
 
