@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .cws import op6_fingerprints
 from .langid import op1_language_id
 from .packing import op3_packing
 from .secrets import op4_secrets
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
+    "op6_fingerprints": op6_fingerprints,
     "op10_url_filter": op10_url_filter,
 }
 
