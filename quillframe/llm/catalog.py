@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op7_neighbours
 from .cws import op6_fingerprints
 from .langid import op1_language_id
 from .packing import op3_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op6_fingerprints": op6_fingerprints,
+    "op7_neighbours": op7_neighbours,
     "op10_url_filter": op10_url_filter,
 }
 
