@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op7_neighbours
 from .cws import op6_fingerprints
 from .langid import op1_language_id
+from .lines import op8_line_dedup
 from .packing import op3_packing
 from .secrets import op4_secrets
 from .simhash import op2_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op6_fingerprints": op6_fingerprints,
     "op7_neighbours": op7_neighbours,
+    "op8_line_dedup": op8_line_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
