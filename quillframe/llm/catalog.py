@@ -7,6 +7,7 @@ from .cws import op6_fingerprints
 from .langid import op1_language_id
 from .lines import op8_line_dedup
 from .packing import op3_packing
+from .pieces import op5_sentencepiece
 from .secrets import op4_secrets
 from .simhash import op2_simhash
 from .urls import op10_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_fingerprints": op6_fingerprints,
     "op7_neighbours": op7_neighbours,
     "op8_line_dedup": op8_line_dedup,
