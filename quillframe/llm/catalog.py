@@ -7,6 +7,7 @@ from .cws import op6_fingerprints
 from .langid import op1_language_id
 from .lines import op8_line_dedup
 from .packing import op3_packing
+from .passages import op9_passages
 from .pieces import op5_sentencepiece
 from .secrets import op4_secrets
 from .simhash import op2_simhash
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_neighbours": op7_neighbours,
     "op8_line_dedup": op8_line_dedup,
+    "op9_passages": op9_passages,
     "op10_url_filter": op10_url_filter,
 }
 
