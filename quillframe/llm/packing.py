@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -25,17 +26,22 @@ END_ID = 1
 #: Sources up to this many have a queue each; where there are more, sources share so many queues by hash.
 MAX_QUEUES = 4096
 #: Words that a worker remembers, and the rows that may be broadcast.
-CACHE_WORDS, BROADCAST_ROWS = 400_000, 200_000
+CACHE_WORDS, BROADCAST_ROWS = 600_000, 200_000
 
 _encoders: dict[str, Encoder] = {}
 _UNEVEN = re.compile(r"\s\s|^\s|\s$")
 
 
+#: Fixed value: how a byte-level splitter cuts a text into words.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Encoder:
     """Ids of the tokenizer file; words that one space separates are encoded once and remembered.
 
     The file's splitter never joins what stands before a single space with what follows it, if neither neighbour is
-    white space; so a text that has no two white-space characters together is the sum of its words.
+    white space; so a text that has no two white-space characters together is the sum of its words. Where the file is a byte-level BPE whose
+    ids are in order of its merges, new words are encoded by an engine that takes ids as ranks, many at a time.
     """
 
     def __init__(self, path: str):
@@ -43,25 +49,60 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.ranked = self._ranked()
+
+    def _ranked(self):
+        own = json.loads(self.tokenizer.to_str())
+        cut, model = own["pre_tokenizer"] or {}, own["model"]
+        if model["type"] != "BPE" or own["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            return None
+        if model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in printed} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(printed)))}
+        vocab = {t: i for t, i in model["vocab"].items() if all(c in byte for c in t)}
+        merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        special = {x["id"] for x in own["added_tokens"]}
+        if None in merged or merged != sorted(set(merged)) or len(merged) + 256 != len(model["vocab"].keys() - {x["content"] for x in own["added_tokens"]}):
+            return None
+        import tiktoken
+
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i not in special}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, i in ranks.items():
+            self.sizes[i] = len(t)
+        return tiktoken.Encoding("ranked", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def _learn(self, words: list[str]) -> None:
+        spaced = [w for w in words if w[:1] == " "] if self.ranked else []
+        for at in range(0, len(spaced), 2000):
+            some = spaced[at : at + 2000]
+            ids = self.ranked.encode_to_numpy("".join(some), disallowed_special=())
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in some])) + 1
+            whole, width, start = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize, 0
+            for word, end in zip(some, (width * ends).tolist()):
+                self.known[word] = whole[start:end]
+                start = end
+        rest = [w for w in words if w[:1] != " "] if self.ranked else words
+        self.known.update(zip(rest, map(self._ids, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
 
     def many(self, texts: list[str]) -> list[bytes]:
-        """uint32 little-endian ids of each text."""
-        even = [not _UNEVEN.search(x) for x in texts]
-        parts = [x.replace(" ", "\0 ").split("\0") if ok and "\0" not in x else None for x, ok in zip(texts, even)]
-        new = list({w for p in parts if p for w in p} - self.known.keys())
+        """Little-endian ids of each text, of `kind`."""
+        even = ["\0" not in x and not _UNEVEN.search(x) for x in texts]
+        parts = [x.replace(" ", "\0 ").split("\0") if ok else None for x, ok in zip(texts, even)]
+        asked = set().union(*filter(None, parts))
+        new = asked - self.known.keys()
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
-            new = list({w for p in parts if p for w in p})
-        for at in range(0, len(new), 20_000):
-            words = new[at : at + 20_000]
-            self.known.update(zip(words, map(self._ids, self.tokenizer.encode_batch(words, add_special_tokens=False))))
-        known = self.known
-        return [b"".join([known[w] for w in p]) if p else self._ids(self.tokenizer.encode(x, add_special_tokens=False)) for p, x in zip(parts, texts)]
+            new = asked
+        self._learn(list(new))
+        known = self.known.__getitem__
+        return [b"".join(map(known, p)) if p else self._ids(self.tokenizer.encode(x, add_special_tokens=False)) for p, x in zip(parts, texts)]
 
-    @staticmethod
-    def _ids(encoding) -> bytes:
-        return np.array(encoding.ids, "<u4").tobytes()
+    def _ids(self, encoding) -> bytes:
+        return np.array(encoding.ids, self.kind).tobytes()
 
 
 def encoder(path: str) -> Encoder:
@@ -77,17 +118,17 @@ def tokenized(docs: DataFrame, path: str, doc_id: str, text: str, source: str) -
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, used = TaskContext.get().partitionId(), {}
         one = encoder(path)
-        wide = one.tokenizer.get_vocab_size() > 65536
+        width = np.dtype(one.kind).itemsize
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 some = pdf.iloc[at : at + 256]
                 starts, counts, ids = [], [], []
                 for queue, found in zip(some["queue"], one.many(some["text"].fillna("").tolist())):
-                    n = len(found) // 4 + 1
+                    n = len(found) // width + 1
                     starts.append(used.get(queue, 0))
                     used[queue] = starts[-1] + n
                     counts.append(n)
-                    ids.append(found if wide else np.frombuffer(found, "<u4").astype("<u2").tobytes())
+                    ids.append(found)
                 yield pd.DataFrame({"part": part, "queue": some["queue"].values, "start": starts, "doc_id": some["doc_id"].values, "tokens": counts, "ids": ids})
 
     rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("queue"))
