@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from . import business, cleaning, documents, processing
 
-FLAGSHIP = "value_counts"
+FLAGSHIP = "sha256_dedup_keep_first"
 
+QUERIES = documents.QUERIES | business.QUERIES | processing.QUERIES | cleaning.QUERIES
 
-def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per class, most frequent first."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
-
-
-QUERIES = {"value_counts": value_counts}
-
-ORACLE_SQL = {"value_counts": "SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang"}
+ORACLE_SQL = documents.ORACLE_SQL | business.ORACLE_SQL | processing.ORACLE_SQL | cleaning.ORACLE_SQL
