@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: First bytes (hex) of each kind of file.
 SIGNATURES = [
@@ -52,7 +53,7 @@ def reconciled_extension(name: Column, content: Column) -> Column:
     return F.when(name == content, name).when(F.coalesce(name, F.lit("")) == "", content).when(content == "unknown", name).otherwise(content)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def safe_name(xs: pd.Series) -> pd.Series:
     """Slashes as underscores, lower-case extension, ASCII but for é è ê à; over 250 characters cut with a mark."""
     import unicodedata

@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _NUMBER = r"([0-9]+(?:[.,][0-9]+)?)"
 
@@ -24,7 +25,7 @@ def amount(x: Column) -> Column:
 percentage = amount
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def amount_exact(xs: pd.Series) -> pd.Series:
     """As amount(), rounded as the nearest double's exact value, for inputs of more than two decimals."""
     find = re.compile(_NUMBER)
@@ -43,10 +44,10 @@ def rate(x: Column) -> Column:
 
 
 def as_percentage(x: Column) -> Column:
-    """0.2 as `20 %`, 0.055 as `5.5 %`; null for null and 0."""
+    """With a no-break space: 0.2 as `20 %`, 0.055 as `5.5 %`; null for null and 0."""
     v = F.round(x * 100, 6)
     shown = F.when(v == F.floor(v), F.format_string("%d", v.cast("long"))).otherwise(F.format_string("%.1f", v))
-    return F.when(F.coalesce(x, F.lit(0.0)) != 0, F.concat(shown, F.lit(" %")))
+    return F.when(F.coalesce(x, F.lit(0.0)) != 0, F.concat(shown, F.lit("\u00a0%")))
 
 
 def ratio_text(x: Column) -> Column:

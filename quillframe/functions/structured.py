@@ -64,8 +64,11 @@ CLEANERS: dict[str, dict[str, Callable[[Column], Column]]] = {
 
 def cleaned(df: DataFrame, class_column: str, data: str) -> DataFrame:
     """The map column `data` with the values that its class has a cleaner for cleaned; unknown classes and other keys pass unchanged."""
+
+    def entry(rules: dict[str, Callable[[Column], Column]]) -> Callable[[Column, Column], Column]:
+        return lambda k, v: reduce(lambda acc, r: F.when(k == r[0], r[1](v)).otherwise(acc), rules.items(), v)
+
     out = F.col(data)
     for name, rules in CLEANERS.items():
-        entry = lambda k, v, rules=rules: reduce(lambda acc, r: F.when(k == r[0], r[1](v)).otherwise(acc), rules.items(), v)
-        out = F.when(F.col(class_column) == name, F.transform_values(F.col(data), entry)).otherwise(out)
+        out = F.when(F.col(class_column) == name, F.transform_values(F.col(data), entry(rules))).otherwise(out)
     return df.withColumn(data, out)

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -37,13 +38,13 @@ def name_case(x: Column) -> Column:
     return F.array_join(F.filter(F.transform(F.split(squeezed(x), "-"), words), lambda p: p != ""), "-")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_accents(xs: pd.Series) -> pd.Series:
     """NFD without combining marks."""
     return xs.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def composed(xs: pd.Series) -> pd.Series:
     """NFC."""
     return xs.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))

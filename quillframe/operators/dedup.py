@@ -36,4 +36,5 @@ def consistent(df: DataFrame, key: str, time: str, strict: bool = True) -> DataF
     out = rows.select(key, time, *[F.col(f"r.{c}").alias(c) for c in rest], conflict.alias("conflict"))
     if not strict:
         return out
-    return out.withColumn("conflict", F.when(F.col("conflict"), F.raise_error(F.concat(F.lit("conflicting rows of "), F.col(key).cast("string")))).otherwise(F.lit(False))).drop("conflict")
+    told = F.raise_error(F.concat(F.lit("conflicting rows of "), F.col(key).cast("string"))).cast("boolean")
+    return out.where(F.when(F.col("conflict"), told).otherwise(F.lit(True))).drop("conflict")
