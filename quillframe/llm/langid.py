@@ -18,7 +18,7 @@ ORDER = 4
 #: A character is one of 2^12 symbols, so that ORDER of them fit into a long.
 SYMBOL_BITS = 12
 SPACE = 32
-#: An order has at most 2^SLOT_BITS hashed n-grams: what is collected and broadcast has that bound at any input size.
+#: An order has at most 2^SLOT_BITS n-grams of a language: what is collected and broadcast has that bound at any input size.
 SLOT_BITS = 21
 #: Labels beyond this many are an error: the arrays hold a float for each language.
 MAX_LANGUAGES = 256
@@ -106,27 +106,39 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def _order_tables(counts: DataFrame) -> DataFrame:
-    """Order k, lang, slot of the k-gram, slots of its context and its suffix, count: raw at the top, continuations below."""
+    """Order k, lang, gram, count: raw at the top, continuations below; of grams that share a slot the most frequent."""
     out, now = None, counts
     for k in range(ORDER, 0, -1):
-        mask = (1 << (SYMBOL_BITS * (k - 1))) - 1
-        slot = lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int")
-        gram = F.col("gram")
-        rows = now.select(F.lit(k).alias("k"), "lang", slot(gram).alias("slot"), slot(F.shiftright(gram, SYMBOL_BITS)).alias("context"), slot(gram.bitwiseAND(F.lit(mask).cast("long"))).alias("suffix"), "n")
-        rows = rows.groupBy("k", "lang", "slot").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
+        slot = F.xxhash64("gram").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+        rows = now.groupBy(F.lit(k).alias("k"), "lang", slot.alias("slot")).agg(F.max(F.struct("n", "gram")).alias("top")).select("k", "lang", "top.gram", "top.n")
         out = rows if out is None else out.unionByName(rows)
-        now = now.select("lang", gram.bitwiseAND(F.lit(mask).cast("long")).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+        suffix = F.col("gram").bitwiseAND(F.lit((1 << (SYMBOL_BITS * (k - 1))) - 1))
+        now = now.select("lang", suffix.alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     return out
 
 
+class HashArray:
+    """Packed n-grams in order of their hashed slots; a slot finds the first of its n-grams, which is compared in full."""
+
+    def __init__(self, grams: np.ndarray):
+        self.slots = slots(grams)
+        self.order = np.argsort(self.slots, kind="stable")
+        self.slots, self.grams = self.slots[self.order], grams[self.order]
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Places of the n-grams; -1 where they are not there."""
+        at = np.minimum(np.searchsorted(self.slots, slots(grams)), len(self.slots) - 1)
+        return np.where(self.grams[at] == grams, at, -1)
+
+
 @dataclass
 class Model:
-    """For each order, sorted slots with log2 probabilities of all languages, and sorted contexts with log2 back-off weights."""
+    """For each order, a hash array of n-grams with log2 probabilities of all languages, and one of contexts with log2 back-off weights."""
 
     langs: list[str]
-    slots: dict[int, np.ndarray] = field(default_factory=dict)
+    known: dict[int, HashArray] = field(default_factory=dict)
     logs: dict[int, np.ndarray] = field(default_factory=dict)
-    contexts: dict[int, np.ndarray] = field(default_factory=dict)
+    contexts: dict[int, HashArray] = field(default_factory=dict)
     weights: dict[int, np.ndarray] = field(default_factory=dict)
     floor: float = 0.0
     #: (language, doublings of the length) to mean and deviation of the cross-entropy
@@ -136,16 +148,14 @@ class Model:
         """Per packed k-gram and language, log2 of the interpolated probability of its last symbol."""
         if k == 0:
             return np.full((len(grams), len(self.langs)), self.floor, np.float32)
-        keys, mine = self.slots[k], slots(grams)
-        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+        at = self.known[k].find(grams)
         out = self.logs[k][at]
-        miss = np.flatnonzero(keys[at] != mine)
+        miss = np.flatnonzero(at < 0)
         if len(miss):
             lost = grams[miss]
             lower = self.log_probabilities(lost & np.int64((1 << (SYMBOL_BITS * (k - 1))) - 1), k - 1)
-            own, context = self.contexts[k], slots(lost >> np.int64(SYMBOL_BITS))
-            at = np.minimum(np.searchsorted(own, context), len(own) - 1)
-            out[miss] = lower + np.where((own[at] == context)[:, None], self.weights[k][at], np.float32(0))
+            at = self.contexts[k].find(lost >> np.int64(SYMBOL_BITS))
+            out[miss] = lower + np.where((at >= 0)[:, None], self.weights[k][at], np.float32(0))
         return out
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,29 +187,24 @@ def _build(rows: pd.DataFrame) -> Model:
     width = len(model.langs)
     for k in range(1, ORDER + 1):
         mine = rows[rows["k"] == k]
-        keys, at = np.unique(mine["slot"].to_numpy(), return_inverse=True)
-        own, on = np.unique(mine["context"].to_numpy(), return_inverse=True)
-        lang = np.searchsorted(model.langs, mine["lang"].to_numpy().astype(str))
-        n = np.zeros((len(keys), width))
-        n[at, lang] = mine["n"].to_numpy()
-        context, suffix = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        context[at], suffix[at] = on, mine["suffix"].to_numpy()
+        grams, at = np.unique(mine["gram"].to_numpy(), return_inverse=True)
+        n = np.zeros((len(grams), width))
+        n[at, np.searchsorted(model.langs, mine["lang"].to_numpy().astype(str))] = mine["n"].to_numpy()
+        order = np.argsort(-n.max(1), kind="stable")  # the most frequent of a slot comes first in it
+        grams, n = grams[order], n[order]
+        own, context = np.unique(grams >> SYMBOL_BITS, return_inverse=True)
         total, kinds = np.zeros((len(own), width)), np.zeros((len(own), width))
         np.add.at(total, context, n)
         np.add.at(kinds, context, n > 0)
         one, two = (n == 1).sum(0), (n == 2).sum(0)
         discount = np.clip(one / np.maximum(one + 2 * two, 1), 0.05, 0.95)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            back = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
-            direct = np.maximum(n - discount, 0) / np.maximum(total[context], 1)
-        if k == 1:
-            lower = np.full((len(keys), width), 2.0**model.floor)
-        else:
-            there = np.minimum(np.searchsorted(model.slots[k - 1], suffix), len(model.slots[k - 1]) - 1)
-            lower = np.where((model.slots[k - 1][there] == suffix)[:, None], np.exp2(model.logs[k - 1][there].astype(np.float64)), 2.0**model.floor)
-        model.slots[k], model.contexts[k] = keys.astype(np.int32), own.astype(np.int32)
-        model.logs[k] = np.log2(direct + back[context] * lower).astype(np.float32)
-        model.weights[k] = np.log2(np.maximum(back, 1e-9)).astype(np.float32)
+        back = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+        direct = np.maximum(n - discount, 0) / np.maximum(total[context], 1)
+        suffix = grams & np.int64((1 << (SYMBOL_BITS * (k - 1))) - 1)
+        lower = np.exp2(model.log_probabilities(suffix, k - 1).astype(np.float64))
+        model.known[k], model.contexts[k] = HashArray(grams), HashArray(own)
+        model.logs[k] = np.log2(direct + back[context] * lower).astype(np.float32)[model.known[k].order]
+        model.weights[k] = np.log2(np.maximum(back, 1e-9)).astype(np.float32)[model.contexts[k].order]
     return model
 
 
