@@ -9,6 +9,7 @@ from .lines import op8_line_dedup
 from .packing import op3_packing
 from .passages import op9_passages
 from .pieces import op5_sentencepiece
+from .secrets import ORACLE_SQL as SECRETS_SQL
 from .secrets import op4_secrets
 from .simhash import op2_simhash
 from .urls import op10_url_filter
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_secrets": SECRETS_SQL}

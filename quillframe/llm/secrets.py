@@ -232,3 +232,24 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda i: F.size(F.filter(spans, lambda s: s["order"] == i)).cast("long")
     base = F.filter(spans, lambda s: s["order"] < len(BASE))
     return rows.select("doc_id", *[count(i).alias(f"n_{r.kind}") for i, r in enumerate(BASE)], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(spans).alias("spans"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _oracle() -> str:
+    """The spans by splitting each text at a rule's matches, as SQL."""
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {i} AS k, {_quoted(r.kind)} AS kind, {r.least} AS least, regexp_extract_all(t, {_quoted(r.regex)}, 0) AS hits, regexp_extract_all(t, {_quoted(r.regex)}, {r.group}) AS parts, string_split_regex(t, {_quoted(r.regex)}) AS gaps FROM d"
+        for i, r in enumerate(BASE + MORE)
+    )
+    counts = ", ".join(f"count(*) FILTER (k = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({found}),
+  u AS (SELECT doc_id, k, kind, least, hits[i] AS hit, parts[i] AS part, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a FROM m, unnest(range(1, len(hits) + 1)) AS r(i)),
+  s AS (SELECT doc_id, k, a, kind || ':' || a::BIGINT || ':' || (a + length(hit))::BIGINT AS span FROM u WHERE length(part) >= least)
+  SELECT d.doc_id, {counts}, sha256(coalesce(string_agg(span, ',' ORDER BY a, k) FILTER (k < {len(BASE)}), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY a, k), '') AS spans
+  FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+ORACLE_SQL = _oracle()
