@@ -148,3 +148,32 @@ def test_providers(spark):
     assert [r[0] for r in df.select(providers.mapped_answer(F.col("a"), {"Devis": "devis"})).collect()] == ["devis", providers.UNKNOWN]
     pages = spark.createDataFrame([(["p", "q"],)], "a array<string>").select(providers.page_marked(F.col("a"))).first()[0]
     assert pages == "[[PAGE 1 / 2]]\np\n[[FIN PAGE 1 / 2]]\n\n[[PAGE 2 / 2]]\nq\n[[FIN PAGE 2 / 2]]"
+
+
+def test_drawings(spark):
+    from quillframe.operators import geometry
+
+    points = [(0, 0.0, 0.0), (1, 6.0, 0.0), (2, 12.0, 0.0), (3, None, None), (4, 13.0, 1.0), (5, 0.0, 10.0)]
+    df = spark.createDataFrame([("p", i, x, y, 1) for i, x, y in points], "page string, i long, x double, y double, segments int")
+    got = {r.group_no: (r.members, r.segments) for r in geometry.grouped(df, ["page"], "i").collect()}
+    leaders, want = [], {}
+    for i, x, y in points:
+        if x is None:
+            continue
+        at = next((n for n, (a, b) in enumerate(leaders) if ((a - x) ** 2 + (b - y) ** 2) ** 0.5 <= 10), None)
+        if at is None:
+            at = len(leaders)
+            leaders.append((x, y))
+        want.setdefault(at + 1, []).append(i)
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+    marks = spark.createDataFrame([(10.0, 2), (10.0, 1), (30.0, 2)], "w double, n int").select(geometry.checkbox_mark(F.col("w"), F.col("w"), F.col("n"))).collect()
+    assert [r[0] for r in marks] == ["[X]", "[ ]", None]
+
+
+def test_classes(spark):
+    from quillframe.functions import classes
+
+    assert len({k for k, _, _ in classes.CLASSES}) == len({n for _, n, _ in classes.CLASSES}) == 63
+    df = classes.catalogue(spark)
+    assert df.where(classes.key_of(F.col("full_name")) != F.col("key")).count() == 0
+    assert df.limit(1).select(classes.short_name_of(F.lit("other"))).first()[0] == "other"
