@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,31 +66,55 @@ def within(a: str, b: str, edits: int) -> bool:
     return score <= edits
 
 
-def segment_of(length: int, edits: int) -> list[tuple[int, int]]:
-    """Start and size of the edits + 1 segments of a line."""
-    cut = [length * i // (edits + 1) for i in range(edits + 2)]
-    return [(a, b - a) for a, b in zip(cut, cut[1:])]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def keys_of(line: str, edits: int) -> dict[int, int]:
-    """Hashed (length, segment, substring) to 1 (the line is indexed there), 2 (it probes there) or 3.
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    It probes for lines of its length and up to `edits` less. Of lines within the distance, some segment of the shorter one
-    is in the longer one at a start that the multi-match-aware bounds leave.
-    """
-    import xxhash
 
-    wide, n = line.encode("utf-32-le", "replace"), len(line)
-    out: dict[int, int] = {}
-    for less in range(min(edits, n - edits - 1) + 1):
-        for i, (start, size) in enumerate(segment_of(n - less, edits)):
-            low = max(0, start - i, start + less - (edits - i))
-            high = min(n - size, start + i, start + less + (edits - i))
-            for at in range(low, high + 1):
-                key = xxhash.xxh64_intdigest(wide[4 * at : 4 * (at + size)], (n - less) * 16 + i)
-                key -= (key >> 63) << 64
-                out[key] = out.get(key, 0) | (3 if not less and at == start else 2)
-    return out
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2^64."""
+    if len(_powers[0]) < n:
+        for i, base in enumerate((int(_ODD), pow(int(_ODD), -1, 1 << 64))):
+            steps = np.full(2 * n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
+
+
+def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed (length, segment, substring); which line; 3 where the line is indexed under it, 2 where it only probes there.
+
+    A line of n code points is cut into edits + 1 segments. It probes for lines of its length and up to `edits` less. Of lines within the distance, some
+    segment of the shorter one is in the longer one at a start that the multi-match-aware bounds leave. Substrings are hashed from
+    prefix sums of their polynomial, so that a batch takes a few array operations.
+    """
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    power, inverse = _powers_to(len(codes) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed((codes + np.uint64(1)) * _ODD) * power[: len(codes)], dtype=np.uint64)])
+    n = np.fromiter(map(len, lines), np.int64, len(lines))
+    first = np.cumsum(n) - n
+    which = np.arange(len(lines))
+    keys, owners, roles = [], [], []
+    for less in range(edits + 1):
+        size_of = n - less
+        for i in range(edits + 1):
+            start, end = size_of * i // (edits + 1), size_of * (i + 1) // (edits + 1)
+            size = end - start
+            low = np.maximum(np.maximum(start - i, start + less - (edits - i)), 0)
+            high = np.minimum(np.minimum(start + i, start + less + (edits - i)), n - size)
+            for shift in range(-i, i + 1):
+                at = start + shift
+                ok = (size_of > edits) & (low <= at) & (at <= high)
+                a, b = (first + at)[ok], (first + at + size)[ok]
+                h = (sums[b] - sums[a]) * inverse[a]
+                keys.append(_mixed(h + _mixed((size_of[ok] * 16 + i).astype(np.uint64) * _ODD)))
+                owners.append(which[ok])
+                roles.append(np.full(len(a), 3 if not less and not shift else 2, np.int32))
+    return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(roles)
 
 
 def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -113,17 +138,34 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     many lines meet under a key, each task compares a chunk of them with a chunk, and keeps the first for each line: no pairs.
     """
 
-    def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                some = pdf.iloc[at : at + 2000]
-                rows = [(k, i, r) for i, line in dict(zip(some["id"], some["line"])).items() for k, r in keys_of(line, edits).items()]
-                yield pd.DataFrame(rows, columns=["key", "id", "role"])
+    ids_of = lines.select(line_hash(1).alias("id"), "line")
+
+    def post(wanted=None):
+        """The posting function; only the wanted keys (a broadcast sorted array), if there are any."""
+
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for at in range(0, len(pdf), 2000):
+                    some = dict(zip(pdf["id"].iloc[at : at + 2000], pdf["line"].iloc[at : at + 2000]))
+                    keys, which, roles = keys_of(list(some.values()), edits)
+                    rows = pd.DataFrame({"key": keys, "id": np.fromiter(some, np.int64, len(some))[which], "role": roles})
+                    if wanted is not None:
+                        place = np.minimum(np.searchsorted(wanted.value, keys), max(len(wanted.value) - 1, 0))
+                        rows = rows[wanted.value[place] == keys] if len(wanted.value) else rows[:0]
+                    yield rows
+
+        return of
 
-    posted = lines.select(line_hash(1).alias("id"), "line").mapInPandas(post, "key long, id long, role int")
+    posting = "key long, id long, role int"
+    posted = ids_of.mapInPandas(post(), posting)
     met = posted.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.bit_or("role").alias("role"))
     met = saved(met.where("a != b and role = 3").select("key"), "keys")
-    found = saved(posted.join(maybe_broadcast(met, met.count(), BROADCAST_ROWS), "key", "left_semi").groupBy("key", "id").agg(F.bit_or("role").alias("role")), "posted")
+    if met.count() <= BROADCAST_ROWS:
+        keys = np.sort(met.toPandas()["key"].to_numpy(np.int64))
+        posted = ids_of.mapInPandas(post(lines.sparkSession.sparkContext.broadcast(keys)), posting)
+    else:
+        posted = posted.join(met, "key", "left_semi")
+    found = saved(posted.groupBy("key", "id").agg(F.bit_or("role").alias("role")), "posted")
     ids = found.select("id").distinct()
     texts = lines.withColumns({"id": line_hash(1), "h2": line_hash(2)})
     texts = texts.join(maybe_broadcast(ids, ids.count(), BROADCAST_ROWS), "id", "left_semi").groupBy("id", "h2", "line").agg(F.min(_order()).alias("first"))
