@@ -50,10 +50,12 @@ def covering_masks(radius: int, bits: int = BITS) -> list[int]:
 
     Position i has a nonzero vector a(i) of radius+1 bits; the mask of a nonzero v keeps the positions with
     <a(i), v> odd. For radius positions some v is orthogonal to all their vectors: that mask keeps none of them.
+    Vectors are dealt from the last one down, so that few positions still get those with a first component, and
+    masks keep even shares of them: 32 or 64 of 64 positions for radius 6.
     """
     vectors = [v for v in product((0, 1), repeat=radius + 1) if any(v)]
     signed = lambda x: x - (1 << bits) if x >> (bits - 1) else x
-    return [signed(sum(1 << i for i in range(bits) if sum(a * b for a, b in zip(vectors[i % len(vectors)], v)) % 2)) for v in vectors]
+    return [signed(sum(1 << i for i in range(bits) if sum(a * b for a, b in zip(vectors[-1 - i % len(vectors)], v)) % 2)) for v in vectors]
 
 
 def links(prints: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
