@@ -98,6 +98,29 @@ def test_near_duplicates_keep_one(spark):
     assert neardup.one_of_each(table(spark, rows).limit(0)).count() == 0
 
 
+def similar_by_pairs(texts):
+    """Root text of each text, by the Jaccard similarity of all pairs of five-word shingle sets."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    return roots(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+
+
+def classes_of(spark, texts):
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    return sorted(r.doc_id for r in neardup.one_of_each(table(spark, rows)).collect())
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    r = random.Random(11)
+    texts = []
+    for k, n in enumerate([12, 25, 30, 45, 60, 100, 150, 200, 300, 400, 600] * 4):
+        words, other = prose(1000 + k, n).split(), prose(5000 + k, n).split()
+        texts += [" ".join(words), " ".join(words + other[: n // 6]), " ".join(other[-n // 8 :] + words)]
+        for share in (0.02, 0.03):
+            texts.append(" ".join(w if r.random() > share else f"new{r.randrange(99)}" for w in words))
+        texts.append(" ".join([*words[:-1], "last"]))
+    assert classes_of(spark, texts) == sorted(set(similar_by_pairs(texts).values()))
+
+
 def test_language_models(spark):
     samples = {"en": "the and of that with this from have which there", "fr": "le la les des une est dans pour que avec", "de": "der die das und nicht ein mit auf den ist"}
     rows, i = [], 0
