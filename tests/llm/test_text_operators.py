@@ -121,6 +121,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert classes_of(spark, texts) == sorted(set(similar_by_pairs(texts).values()))
 
 
+def test_near_duplicates_of_one_vocabulary(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 16, raising=False)
+    r = random.Random(12)
+    words = prose(9, 150).split()
+    texts = []
+    for _ in range(12):  # one set of words in unlike orders, each with near copies that only swap two words
+        order = r.sample(words, len(words))
+        for at in (20, 70, 120):
+            texts.append(" ".join(order[:at] + [order[at + 1], order[at]] + order[at + 2 :]))
+    base = prose(10, 300).split()
+    for share in [0.01, 0.02, 0.03, 0.04, 0.05] * 20:  # one large group, whose links are a part of its pairs
+        texts.append(" ".join(w if r.random() > share else f"new{r.randrange(9999)}" for w in base))
+    assert classes_of(spark, texts) == sorted(set(similar_by_pairs(texts).values()))
+
+
 def test_language_models(spark):
     samples = {"en": "the and of that with this from have which there", "fr": "le la les des une est dans pour que avec", "de": "der die das und nicht ein mit auf den ist"}
     rows, i = [], 0
