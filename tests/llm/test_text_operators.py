@@ -336,6 +336,28 @@ def test_passages(spark):
     assert passages.passages(table(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_whose_seeds_have_other_sources(spark):
+    first, second, line = prose(701, 32).split(), prose(702, 32).split(), prose(703, 30)
+    whole = " ".join(first + second)
+    rows = []
+    for i in range(16):  # the halves are in texts of their own, and the whole in two: some of the halves have lower hashes
+        rows.append((i, f"{prose(300 + i, 40)} {' '.join(first if i % 2 else second)} {prose(340 + i, 40)}", "en", "s"))
+    rows += [(50, f"{prose(400, 40)} {whole} {prose(401, 40)}", "en", "s"), (51, f"{prose(402, 40)} {whole} {prose(403, 40)}", "en", "s")]
+    # a source that repeats a line before the passage that holds it
+    repeats = f"{line} {prose(704, 60)} {line} {prose(705, 22)}"
+    rows += [(60 + i, f"{prose(500 + i, 30)} {line} {prose(510 + i, 30)} {line} {prose(705, 22)} {prose(520 + i, 30)}", "en", "s") for i in range(2)] + [(62, repeats, "en", "s")]
+    of = {d: t.split() for d, t, _, _ in rows}
+    held = {d: set() for d in of}
+    for r in passages.passages(table(spark, rows)).collect():
+        held[r.doc_id] |= set(range(r.start, r.end))
+        held[r.source_id] |= set(range(r.source_start, r.source_end))
+    for d in of:  # all runs of 50 words that another text has
+        others = {tuple(w[i : i + 50]) for e, w in of.items() if e != d for i in range(len(w) - 49)}
+        want = {j for i in range(len(of[d]) - 49) if tuple(of[d][i : i + 50]) in others for j in range(i, i + 50)}
+        assert want <= held[d], d
+        assert want if d >= 50 else not want
+
+
 def test_chains_follow_both_orders():
     anchors = [(i, 100 + i) for i in range(0, 60, 5)] + [(300, 20), (17, 400)]
     chains = passages.chains_of(anchors)
