@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CAP = 1_000_000
 
@@ -23,18 +27,26 @@ def gate_starts(calls: DataFrame, key: str, at: str, order: list[str], spacing:
 def window_counts(calls: DataFrame, key: str, at: str, interval: float, limit: int) -> DataFrame:
     """Per key: for each call in order its count in a window that the first call opens, and whether it is over the limit.
 
-    A call at or after the window's end opens the next one. A count that has reached the cap stays, after the end too.
+    A call at or after the window's end opens the next one. A count that has reached the cap stays, after the end too. The calls of a
+    key are streamed through one task in order of time, which holds only the count and the window's end.
     """
-    times = F.array_sort(F.collect_list(at))
-    none = F.expr("cast(array() as array<struct<at:double,count:bigint,limited:boolean>>)")
-
-    def step(acc, t):
-        goes_on = (acc["count"] >= CAP) | (t < acc["expiry"])
-        n = F.when(acc["count"] >= CAP, acc["count"]).when(goes_on, acc["count"] + 1).otherwise(F.lit(1).cast("long"))
-        expiry = F.when(goes_on, acc["expiry"]).otherwise(t + F.lit(float(interval)))
-        row = F.struct(t.alias("at"), n.alias("count"), ((n > limit) | (n >= CAP)).alias("limited"))
-        return F.struct(n.alias("count"), expiry.alias("expiry"), F.concat(acc["rows"], F.array(row)).alias("rows"))
-
-    zero = F.struct(F.lit(0).cast("long").alias("count"), F.lit(float("-inf")).alias("expiry"), none.alias("rows"))
-    folded = calls.where(F.col(at).isNotNull()).withColumn(at, F.col(at).cast("double")).groupBy(key).agg(F.aggregate(times, zero, step, lambda acc: acc["rows"]).alias("rows"))
-    return folded.select(key, F.posexplode("rows").alias("call_no", "r")).select(key, "call_no", "r.*")
+    given = calls.where(F.col(at).isNotNull()).select(key, F.col(at).cast("double").alias("at"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come in order of key and time; of a key only its state is held
+        last, call_no, n, expiry = (), 0, 0, float("-inf")
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if last == () or not (k == last[0] or (k != k and last[0] != last[0])):
+                    last, call_no, n, expiry = (k,), 0, 0, float("-inf")
+                if n < CAP:
+                    n, expiry = (n + 1, expiry) if t < expiry else (1, t + float(interval))
+                rows.append((call_no, n, n > limit or n >= CAP))
+                call_no += 1
+            numbers, counts, limited = zip(*rows) if rows else ((), (), ())
+            columns = [batch.column(0), pa.array(numbers, pa.int32()), batch.column(1), pa.array(counts, pa.int64()), pa.array(limited, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "call_no", "at", "count", "limited"])
+
+    schema = StructType([given.schema[key], *StructType.fromDDL("call_no int, at double, count long, limited boolean")])
+    return given.repartition(key).sortWithinPartitions(key, "at").mapInArrow(count, schema)

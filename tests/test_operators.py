@@ -54,6 +54,24 @@ def test_limits(spark):
     assert [(r["count"], r.limited) for r in limits.window_counts(times, "k", "at", 10, 2).orderBy("call_no").collect()] == [(1, False), (2, False), (3, True), (1, False), (2, False)]
 
 
+def test_counts_of_a_hot_key(spark):
+    n = 200_000
+    calls = spark.range(n).selectExpr("if(id % 10 = 0, null, if(id % 3 = 0, id % 7, 99)) as k", "cast(id * 37 % 100003 as double) as at")
+    got = limits.window_counts(calls, "k", "at", 50, 9)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want, by_key = [], {}
+    for i in range(n):
+        by_key.setdefault(None if i % 10 == 0 else i % 7 if i % 3 == 0 else 99, []).append(float(i * 37 % 100003))
+    for k, times in by_key.items():
+        count, expiry = 0, float("-inf")
+        for no, t in enumerate(sorted(times)):
+            count, expiry = (count + 1, expiry) if t < expiry else (1, t + 50)
+            want.append((k is None, k or 0, no, t, count, count > 9))
+    rows = got.toPandas()
+    mine = sorted(zip(rows["k"].isna(), rows["k"].fillna(0).astype(int), rows["call_no"], rows["at"], rows["count"], rows["limited"]))
+    assert mine == sorted(want)
+
+
 def test_stream_counts_like_the_batch(spark, tmp_path):
     times = spark.createDataFrame([(f"k{i % 3}", float(i * 3)) for i in range(60)], "k string, at double")
     for i, part in enumerate((times.where("at < 90"), times.where("at >= 90"))):
