@@ -1,4 +1,4 @@
-"""Language ID: interpolated Kneser-Ney character models in sorted hash arrays."""
+"""Language ID: interpolated Kneser-Ney character models in sorted arrays of all n-grams."""
 
 from __future__ import annotations
 
@@ -18,8 +18,6 @@ ORDER = 4
 #: A character is one of 2^12 symbols, so that ORDER of them fit into a long.
 SYMBOL_BITS = 12
 SPACE = 32
-#: An order has at most 2^SLOT_BITS n-grams of a language: what is collected and broadcast has that bound at any input size.
-SLOT_BITS = 21
 #: Labels beyond this many are an error: the arrays hold a float for each language.
 MAX_LANGUAGES = 256
 #: One labelled document of so many (by crc32 of its id) is kept out of the counts and calibrates the rejection.
@@ -65,17 +63,6 @@ def encoded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return grams[real], owner[real], letters
 
 
-def slots(packed: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a long, cut to SLOT_BITS."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rotl = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    h = (np.uint64(42) + p5 + np.uint64(8)) ^ (rotl(packed.view(np.uint64) * p2, 31) * p1)
-    h = rotl(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return ((h ^ (h >> np.uint64(32))) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int32)
-
-
 def gram_counts(docs: DataFrame) -> DataFrame:
     """Rows text, lang to lang, gram (packed), n; counted in each task before the shuffle."""
 
@@ -106,39 +93,37 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def _order_tables(counts: DataFrame) -> DataFrame:
-    """Order k, lang, gram, count: raw at the top, continuations below; of grams that share a slot the most frequent."""
+    """Order k, lang, gram, count of all n-grams: raw at the top, continuations below."""
     out, now = None, counts
     for k in range(ORDER, 0, -1):
-        slot = F.xxhash64("gram").bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
-        rows = now.groupBy(F.lit(k).alias("k"), "lang", slot.alias("slot")).agg(F.max(F.struct("n", "gram")).alias("top")).select("k", "lang", "top.gram", "top.n")
+        rows = now.select(F.lit(k).alias("k"), "lang", "gram", "n")
         out = rows if out is None else out.unionByName(rows)
         suffix = F.col("gram").bitwiseAND(F.lit((1 << (SYMBOL_BITS * (k - 1))) - 1))
         now = now.select("lang", suffix.alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
     return out
 
 
-class HashArray:
-    """Packed n-grams in order of their hashed slots; a slot finds the first of its n-grams, which is compared in full."""
+class GramArray:
+    """Distinct packed n-grams in their order."""
 
     def __init__(self, grams: np.ndarray):
-        self.slots = slots(grams)
-        self.order = np.argsort(self.slots, kind="stable")
-        self.slots, self.grams = self.slots[self.order], grams[self.order]
+        self.order = np.argsort(grams, kind="stable")
+        self.grams = grams[self.order]
 
     def find(self, grams: np.ndarray) -> np.ndarray:
         """Places of the n-grams; -1 where they are not there."""
-        at = np.minimum(np.searchsorted(self.slots, slots(grams)), len(self.slots) - 1)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         return np.where(self.grams[at] == grams, at, -1)
 
 
 @dataclass
 class Model:
-    """For each order, a hash array of n-grams with log2 probabilities of all languages, and one of contexts with log2 back-off weights."""
+    """For each order, an array of all n-grams with log2 probabilities of all languages, and one of contexts with log2 back-off weights."""
 
     langs: list[str]
-    known: dict[int, HashArray] = field(default_factory=dict)
+    known: dict[int, GramArray] = field(default_factory=dict)
     logs: dict[int, np.ndarray] = field(default_factory=dict)
-    contexts: dict[int, HashArray] = field(default_factory=dict)
+    contexts: dict[int, GramArray] = field(default_factory=dict)
     weights: dict[int, np.ndarray] = field(default_factory=dict)
     floor: float = 0.0
     #: (language, doublings of the length) to mean and deviation of the cross-entropy
@@ -190,8 +175,6 @@ def _build(rows: pd.DataFrame) -> Model:
         grams, at = np.unique(mine["gram"].to_numpy(), return_inverse=True)
         n = np.zeros((len(grams), width))
         n[at, np.searchsorted(model.langs, mine["lang"].to_numpy().astype(str))] = mine["n"].to_numpy()
-        order = np.argsort(-n.max(1), kind="stable")  # the most frequent of a slot comes first in it
-        grams, n = grams[order], n[order]
         own, context = np.unique(grams >> SYMBOL_BITS, return_inverse=True)
         total, kinds = np.zeros((len(own), width)), np.zeros((len(own), width))
         np.add.at(total, context, n)
@@ -202,7 +185,7 @@ def _build(rows: pd.DataFrame) -> Model:
         direct = np.maximum(n - discount, 0) / np.maximum(total[context], 1)
         suffix = grams & np.int64((1 << (SYMBOL_BITS * (k - 1))) - 1)
         lower = np.exp2(model.log_probabilities(suffix, k - 1).astype(np.float64))
-        model.known[k], model.contexts[k] = HashArray(grams), HashArray(own)
+        model.known[k], model.contexts[k] = GramArray(grams), GramArray(own)
         model.logs[k] = np.log2(direct + back[context] * lower).astype(np.float32)[model.known[k].order]
         model.weights[k] = np.log2(np.maximum(back, 1e-9)).astype(np.float32)[model.contexts[k].order]
     return model

@@ -157,6 +157,20 @@ def test_language_models(spark):
     assert langid.split_model(docs.limit(0)) is None
 
 
+def test_language_models_keep_all_grams(spark):
+    r = random.Random(4)
+    rows = [("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=3000)), lang) for lang in ("en", "fr") for _ in range(15)]
+    labelled = spark.createDataFrame(rows, "text string, lang string")
+    model = langid.train(labelled, labelled.limit(0))
+    for k in range(1, langid.ORDER + 1):
+        mask = np.int64((1 << (langid.SYMBOL_BITS * k)) - 1)
+        want = np.unique(langid.encoded([t for t, _ in rows])[0] & mask)
+        assert np.array_equal(np.sort(model.known[k].grams), want)
+        assert np.all(model.known[k].find(want) >= 0) and np.all(model.contexts[k].find(want >> langid.SYMBOL_BITS) >= 0)
+    missing = np.setdiff1d(np.arange(97, 123, dtype=np.int64) << 36 | 0x41041041, want)
+    assert np.all(model.known[langid.ORDER].find(missing) == -1)
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
