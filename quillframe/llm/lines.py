@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .shared import maybe_broadcast, saved, table
 
-#: Lines that differ in up to EDITS code points are repeats. Lines of fewer than MIN_CHARS are left alone.
+#: Lines that differ in up to EDITS code points are repeats. Lines of fewer than MIN_CHARS are at most exact repeats.
 EDITS, MIN_CHARS = 2, 20
 #: Lines of one key that are compared with so many others at a time; more are cut into chunks, chunk against chunk.
 CHUNK = 256
@@ -117,10 +117,10 @@ def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(roles)
 
 
-def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, line_no (from 0), line of MIN_CHARS and more."""
+def lines_of(docs: DataFrame, doc_id: str, text: str, shortest: int = MIN_CHARS) -> DataFrame:
+    """doc_id, line_no (from 0), line of `shortest` code points and more; blank ones of fewer than MIN_CHARS are left out."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    return rows.where(F.length("line") >= MIN_CHARS)
+    return rows.where((F.length("line") >= MIN_CHARS) | (F.length("line") >= shortest) & F.col("line").rlike(r"\S"))
 
 
 def line_hash(salt: int) -> Column:
@@ -199,17 +199,17 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return near.groupBy("h1", "h2").agg(F.min(F.struct("nameless", "doc_id", "line_no")).alias("earliest"))
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
     """doc_id, dropped (array of struct(line_no, near, source)): a row for each document that has lines to drop.
 
-    Lines are what newlines separate; those of fewer than MIN_CHARS code points are left alone. In order of (doc_id,
+    Lines are what newlines separate; those of fewer than `shortest` code points are left alone, those of fewer than MIN_CHARS have no near repeats. In order of (doc_id,
     line number), null ids last, a line is dropped if an equal one, or one within `edits` edits, stands before it
     anywhere; source is the document of the first such. near: no equal one does. Rows that repeat a doc_id are one document, so are rows with a null one.
     """
-    lines = lines_of(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    lines = lines_of(docs, doc_id, text, shortest).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = lines.select(line_hash(1).alias("h1"), line_hash(2).alias("h2"), "doc_id", "line_no")
     classes = rows.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("n"))
-    near = near_lines(lines, edits)
+    near = near_lines(lines.where(F.length("line") >= MIN_CHARS), edits)
     classes = classes.join(near, ["h1", "h2"], "left").where("n > 1 or earliest < first")
     classes = saved(classes.select("h1", "h2", "first", F.when(F.col("earliest") < F.col("first"), F.col("earliest")).alias("earlier")), "classes")
     own = F.col("first") == _order()
@@ -218,9 +218,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that repeated_lines() names; all columns. Rows that lose every line have an empty text."""
-    gone = repeated_lines(docs, doc_id, text, edits).select(F.col("doc_id").alias("__doc"), F.col("dropped")["line_no"].alias("__gone"))
+    gone = repeated_lines(docs, doc_id, text, edits, shortest).select(F.col("doc_id").alias("__doc"), F.col("dropped")["line_no"].alias("__gone"))
     rows = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__doc")), "left")
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col("__gone"), i))
     return rows.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
@@ -228,7 +228,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ed
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    gone = saved(repeated_lines(docs), "dropped")
+    gone = saved(repeated_lines(docs, shortest=1), "dropped")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
     rows = docs.select("doc_id", F.size(lines).alias("n_lines"))
     near = lambda yes: F.coalesce(F.size(F.filter("dropped", lambda x: x["near"] if yes else ~x["near"])), F.lit(0))

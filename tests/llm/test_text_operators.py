@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -323,6 +324,14 @@ def test_line_dedup(spark):
     assert lines.repeated_lines(table(spark, rows).limit(0)).count() == 0
 
 
+def test_short_lines_repeat_exactly(spark):
+    rows = [(1, "short\n\n  \n}", "en", "s"), (2, "shork\nshort\n\n  \n}", "en", "s"), (3, "short", "en", "s"), (4, None, "en", "s")]
+    got = {r.doc_id: [(x.line_no, x.near, x.source) for x in r.dropped] for r in lines.repeated_lines(table(spark, rows), shortest=1).collect()}
+    assert got == {2: [(1, False, 1), (4, False, 1)], 3: [(0, False, 1)]}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, table(spark, rows), "").collect()}
+    assert kept == {1: rows[0][1], 2: "shork\n\n  "}
+
+
 def test_large_keys_are_chunked(spark, monkeypatch):
     monkeypatch.setattr(lines, "CHUNK", 4)
     rows = [(i, f"User {i:04d} has logged in to the console today", "en", "s") for i in range(60)]
