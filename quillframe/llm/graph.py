@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, saved
+from .shared import Scratch
 
 
-
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Columns u, v (long) to node, root: root is the smallest node that can be reached.
 
     Nodes without an edge are not in the result. Loops, nulls and repeated edges are ignored. Each round is
     two grouped minima with map-side combination and two joins that Spark may split, written to the shared folder,
     so hubs of any size and lost executors do no harm.
     """
-    now = saved(
+    now = scratch.saved(
         edges.where("u is not null and v is not null and u != v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct(),
@@ -29,9 +28,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = saved(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        new = scratch.saved(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         old, mark = mark, _mark(new)
-        dropped(now)
+        scratch.dropped(now)
         now = new
         if mark == old:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,28 +10,72 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir; where it is unset, one of our own if driver and executors are one process, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/checkpoints/quillframe"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="quillframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+class Scratch:
+    """The tables that one operator writes on its way; a block whose end deletes all of them but the kept ones.
+
+    Kept tables are what a result is still read from; they go when the session's process ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in list(self.paths):
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        fs, at = _files(self.spark, path)
+        fs.delete(at, True)
+        self.paths.pop(path, None)
+
+    def saved(self, df: DataFrame, label: str) -> DataFrame:
+        """df, written to the shared folder and read again: what follows no longer depends on its lineage."""
+        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        self.paths[path] = label
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back.quill_path = path
+        return back
+
+    def kept(self, df: DataFrame, label: str) -> DataFrame:
+        """saved(), but the table outlives the block."""
+        back = self.saved(df, label)
+        fs, at = _files(self.spark, back.quill_path)
+        fs.deleteOnExit(at)
+        self.paths.pop(back.quill_path)
+        return back
+
+    def dropped(self, df: DataFrame) -> None:
+        """Deletes a saved table that nothing needs any more."""
+        self._delete(df.quill_path)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read again: what follows no longer depends on its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back.quill_path = path
-    return back
+    """df, written to the shared folder until the session's process ends, and read again."""
+    return Scratch(df.sparkSession).kept(df, label)
 
 
 def dropped(df: DataFrame) -> None:
-    """Deletes a table that saved() wrote and that nothing needs any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.quill_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes a saved table that nothing needs any more."""
+    Scratch(df.sparkSession).dropped(df)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

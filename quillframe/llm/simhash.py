@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import saved, table
+from .shared import Scratch, table
 
 BITS = 64
 
@@ -58,7 +58,7 @@ def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     return [signed(sum(1 << i for i in range(bits) if sum(a * b for a, b in zip(vectors[-1 - i % len(vectors)], v)) % 2)) for v in vectors]
 
 
-def links(prints: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
+def links(prints: DataFrame, scratch: Scratch, radius: int = 2, bucket: int = 64) -> DataFrame:
     """Distinct fingerprints (column fp) to edges u, v whose components are those of all links within the radius.
 
     Each fingerprint goes into one table for each covering mask. In a table's bucket of up to `bucket`
@@ -71,7 +71,7 @@ def links(prints: DataFrame, radius: int = 2, bucket: int = 64) -> DataFrame:
     masks = covering_masks(radius)
     posted = prints.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("mask", "key"))
     sizes = posted.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-    sized = saved(posted.join(sizes, ["mask", "key"]), "buckets")
+    sized = scratch.saved(posted.join(sizes, ["mask", "key"]), "buckets")
     pairs = (
         sized.where(F.col("n") <= bucket)
         .groupBy("mask", "key")
@@ -100,33 +100,16 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     Null and empty texts have fingerprint 0 and link like any other. A row with a null doc_id counts in the links but
     never names a component, unless all rows of it are null. Repeated rows stay. Other columns are not looked at.
     """
-    rows = saved(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), width).alias("fp")), "simhash")
-    prints = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
-    roots = components(links(prints.select("fp"), radius))
-    named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = saved(named.join(lows, "root").select("fp", "root", "component_id"), "classes")
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.kept(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), width).alias("fp")), "simhash")
+        prints = scratch.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
+        roots = components(links(prints.select("fp"), scratch, radius), scratch)
+        named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+        lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+        named = scratch.kept(named.join(lows, "root").select("fp", "root", "component_id"), "classes")
     return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 2) -> DataFrame:
-    """One row of docs for each component, all columns kept: that of its smallest doc_id; of rows that repeat it, the least.
-
-    A component whose rows all have a null doc_id keeps the least row of its least fingerprint.
-    """
-    best = near_classes(docs, doc_id, text, width, radius).where("doc_id <=> component_id").groupBy("root", "doc_id").agg(F.count("*").alias("n"), F.min("fp").alias("fp"))
-    best = saved(best.select(F.col("doc_id").alias("__doc"), F.col("n").alias("__n"), F.col("fp").alias("__fp")), "kept")
-    kept = docs.join(best.where("__n = 1 and __doc is not null"), F.col(doc_id) == F.col("__doc"), "left_semi")
-    rest = best.where("__n > 1 or __doc is null")
-    if rest.isEmpty():
-        return kept
-    least = lambda rows, key: rows.groupBy(key).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
-    again = docs.join(rest.where("__doc is not null"), F.col(doc_id) == F.col("__doc"), "left_semi")
-    nameless = docs.where(F.col(doc_id).isNull()).withColumn("__print", fingerprint_column(F.col(text), width))
-    nameless = nameless.join(rest.where("__doc is null"), F.col("__print") == F.col("__fp"), "left_semi")
-    return kept.unionByName(least(again, doc_id)).unionByName(least(nameless, "__print"))
-
-
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_classes(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -14,6 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillframe.llm.shared import Scratch
 from quillframe.llm import cws, langid, lines, neardup, packing, passages, secrets, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, key string"
@@ -82,7 +83,7 @@ def test_large_buckets_lose_no_link(spark):
     centre = r.getrandbits(64)
     points = {centre ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(300)} | {r.getrandbits(64) for _ in range(200)}
     signed = [x - (1 << 64) if x >> 63 else x for x in points]
-    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 2, bucket=16).collect()
+    edges = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), Scratch(spark), 2, bucket=16).collect()
     want = roots(signed, [(a, b) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) & (2**64 - 1)).count("1") <= 2])
     assert roots(signed, [(e.u, e.v) for e in edges]) == want
 
@@ -102,7 +103,7 @@ def test_near_duplicates_keep_one(spark):
 def similar_by_pairs(texts):
     """Root text of each text, by the Jaccard similarity of all pairs of five-word shingle sets."""
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
-    return roots(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    return roots(range(len(texts)), [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
 
 
 def classes_of(spark, texts):
