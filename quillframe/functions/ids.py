@@ -26,8 +26,8 @@ def siret(x: Column) -> Column:
 
 
 def bic(x: Column) -> Column:
-    """Trimmed, in upper case; null unless it has 8 or 11 characters."""
-    v = F.upper(F.trim(x))
+    """Without white space, in upper case; null unless it has 8 or 11 characters."""
+    v = F.upper(F.regexp_replace(x, r"(?U)\s", ""))
     return F.when(F.length(v).isin(8, 11), v)
 
 

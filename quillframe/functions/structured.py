@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
-from . import ids, money
-from .text import squeezed
+from . import address, dates, ids, money
 
 
 def contractors(xs: Column, need_siret: bool = False) -> Column:
@@ -52,23 +54,109 @@ def extraction_ratio(m: Column) -> Column:
     return F.when(F.size(m) > 0, full / F.size(m)).otherwise(F.lit(0.0))
 
 
+def nested(schema: str, rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """A rule of nested values for their JSON texts."""
+    return lambda v: F.to_json(rule(F.from_json(v, schema)))
+
+
+_ADDRESS = "struct<" + ",".join(f"{f}:string" for f in address.FIELDS) + ">"
+_PARTIES = "array<struct<nom:string,siret:string>>"
+_LOT = "array<struct<numero_lot:int,"
+
+postal = nested(_ADDRESS, address.postal_address)
+duration = nested("map<string,string>", dates.contract_duration)
+account = nested("map<string,string>", ids.bank_account)
+
 #: Class to field to cleaning expression.
 CLEANERS: dict[str, dict[str, Callable[[Column], Column]]] = {
-    "acte_engagement": {"montant_ht": money.amount, "montant_ttc": money.amount, "montant_tva": money.percentage, "siret_mandataire": ids.siret, "objet_marche": squeezed},
-    "rib": {"iban": ids.iban, "bic": ids.bic, "siret": ids.siret},
-    "devis": {"montant_ht": money.amount, "montant_ttc": money.amount, "siret": ids.siret},
-    "avenant": {"montant_ht": money.amount, "siret": ids.siret},
-    "fiche_navette": {"montant_ht": money.amount, "siret": ids.siret},
-}
+    "acte_engagement": {
+        "rib_mandataire": account, "montant_ttc": money.amount, "montant_ht": money.amount, "montant_tva": money.percentage, "cotraitants": nested(_PARTIES, contractors), "sous_traitants": nested(_PARTIES, contractors),
+        "siret_mandataire": ids.siret, "duree": duration, "rib_autres": nested("array<struct<societe:string,rib:map<string,string>>>", bank_accounts),
+    },
+    "rib": {"iban": ids.iban, "bic": ids.bic, "adresse_postale_titulaire": postal},
+    "fiche_navette": {"montant_ht": money.amount, "taux_tva": money.percentage},
+    "sous_traitance": {
+        "adresse_postale_titulaire": postal, "siret_titulaire": ids.siret, "adresse_postale_sous_traitant": postal, "siret_sous_traitant": ids.siret, "montant_tva": money.percentage, "montant_sous_traitance_ttc": money.amount,
+        "montant_sous_traitance_ht": money.amount, "rib_sous_traitant": account, "duree_sous_traitance": duration,
+    },
+}
+
+#: The lists of lots that are merged, with the fields that each gives.
+LOT_LISTS = {"lots": "titre_lot:string", "forme_marche_lots": "structure:string,tranches:string,forme_prix:string,attributaires:string", "duree_lots": "duree_lot:string", "montant_ht_lots": "montant_ht_maximum:string,type_montant:string"}
+
+
+def lots(m: Column) -> Column:
+    """JSON of a map's four lists of lots as one list by lot number: titre, forme, duree_lot, montant_ht, each null inside where its list lacks the lot."""
+    lists = [F.coalesce(F.from_json(F.try_element_at(m, F.lit(k)), f"{_LOT}{fields}>>"), F.expr(f"cast(array() as {_LOT}{fields}>>)")) for k, fields in LOT_LISTS.items()]
+    keys = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.transform(xs, lambda x: x["numero_lot"]) for xs in lists]))))
+    last = lambda i, k: F.get(F.reverse(F.filter(lists[i], lambda x: x["numero_lot"] == k)), F.lit(0))
+    part = lambda i, k, names: F.struct(*[last(i, k)[n].alias(n) for n in names])
+    whole = F.transform(
+        F.filter(keys, lambda k: k.isNotNull()),
+        lambda k: F.struct(
+            k.alias("numero_lot"), last(0, k)["titre_lot"].alias("titre"), part(1, k, ("structure", "tranches", "forme_prix", "attributaires")).alias("forme"), last(2, k)["duree_lot"].alias("duree_lot"),
+            part(3, k, ("montant_ht_maximum", "type_montant")).alias("montant_ht"),
+        ),
+    )
+    return F.to_json(whole, {"ignoreNullFields": "false"})
+
+
+def with_lots(m: Column) -> Column:
+    """A map whose four lists of lots are one; an empty map stays."""
+    rest = F.map_filter(m, lambda k, v: ~k.isin(*LOT_LISTS))
+    return F.when(F.size(m) > 0, F.map_concat(rest, F.create_map(F.lit("lots"), lots(m)))).otherwise(m)
+
+
+#: Class to the rule for its whole object.
+OBJECT_CLEANERS: dict[str, Callable[[Column], Column]] = {"ccap": with_lots}
 
 
 def cleaned(df: DataFrame, class_column: str, data: str) -> DataFrame:
-    """The map column `data` with the values that its class has a cleaner for cleaned; unknown classes and other keys pass unchanged."""
+    """The map column `data` (texts; nested values as JSON) with the values that its class has a cleaner for cleaned, then the class's rule for the whole object.
+
+    Unknown classes, other keys and null maps pass unchanged. A value that its cleaner rejects is null; no row is lost by another one's error.
+    """
 
     def entry(rules: dict[str, Callable[[Column], Column]]) -> Callable[[Column, Column], Column]:
         return lambda k, v: reduce(lambda acc, r: F.when(k == r[0], r[1](v)).otherwise(acc), rules.items(), v)
 
     out = F.col(data)
-    for name, rules in CLEANERS.items():
-        out = F.when(F.col(class_column) == name, F.transform_values(F.col(data), entry(rules))).otherwise(out)
+    for name in CLEANERS | OBJECT_CLEANERS:
+        mine = F.transform_values(F.col(data), entry(CLEANERS[name])) if name in CLEANERS else F.col(data)
+        mine = OBJECT_CLEANERS[name](mine) if name in OBJECT_CLEANERS else mine
+        out = F.when((F.col(class_column) == name) & F.col(data).isNotNull(), mine).otherwise(out)
     return df.withColumn(data, out)
+
+
+@F.pandas_udf(MapType(StringType(), StringType()))
+def json_leaves(texts: pd.Series) -> pd.Series:
+    """Dotted path to value (JSON text) of every leaf of a JSON text; items of lists by number; null for what is no JSON."""
+
+    def walk(v, path: str, out: dict[str, str]) -> None:
+        below = v.items() if isinstance(v, dict) else enumerate(v) if isinstance(v, list) else ()
+        if not below:
+            out[path] = json.dumps(v, ensure_ascii=False)
+        for k, x in below:
+            walk(x, f"{path}.{k}" if path else str(k), out)
+
+    def leaves(x: str | None) -> dict[str, str] | None:
+        try:
+            value = json.loads(x)
+        except (TypeError, ValueError):
+            return None
+        out: dict[str, str] = {}
+        walk(value, "", out)
+        return out
+
+    return texts.map(leaves)
+
+
+def leaf_diff(a: Column, b: Column) -> Column:
+    """Of two maps of leaves: struct(only_a, only_b, changed), sorted paths; null maps are empty."""
+    empty = F.expr("cast(map() as map<string,string>)")
+    x, y = F.coalesce(a, empty), F.coalesce(b, empty)
+    shared = F.array_intersect(F.map_keys(x), F.map_keys(y))
+    return F.struct(
+        F.array_sort(F.array_except(F.map_keys(x), F.map_keys(y))).alias("only_a"), F.array_sort(F.array_except(F.map_keys(y), F.map_keys(x))).alias("only_b"),
+        F.array_sort(F.filter(shared, lambda k: F.try_element_at(x, k) != F.try_element_at(y, k))).alias("changed"),
+    )

@@ -12,6 +12,10 @@ from pyspark.sql.types import StringType
 WORD = r"[\p{L}\p{N}_]+"
 
 
+#: Fixed value: white space as the strip of a text takes it.
+BLANK = r"[\x09-\x0D\x1C-\x20\x85\p{Z}]"
+
+
 def count_words(x: Column) -> Column:
     """Runs of letters, digits and underscores; 0 for null and empty."""
     return F.coalesce(F.regexp_count(x, F.lit(WORD)), F.lit(0))
@@ -70,12 +74,17 @@ def is_readable(x: Column) -> Column:
     return F.coalesce((n >= 10) & (printable >= 0.7 * n) & (odd <= 0.3 * n), F.lit(False))
 
 
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(x, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def chunks(x: Column, size: int = 1000, overlap: int = 200) -> Column:
     """array of struct(chunk_id, start_char, end_char, text): windows of `size`, each `overlap` into the one before; none for a blank text."""
     if overlap >= size:
         raise ValueError("overlap must be less than size")
     step = size - overlap
-    text = F.trim(without_nul(F.coalesce(x, F.lit(""))))
+    text = stripped(without_nul(F.coalesce(x, F.lit(""))))
     n = F.length(text)
     made = F.transform(
         F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1),

@@ -33,8 +33,9 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list[C
 def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str], newer: str | None = None) -> DataFrame:
     """New values of the update columns where the key is in `new`; where `newer` is given, only if its value there is greater (old nulls are least).
 
-    `new` must have one row for each key.
+    Of new rows that repeat a key, the one of the greatest `newer` counts, then the least.
     """
+    new = first_of_each(new, [key], [*([F.desc(newer)] if newer else []), *[F.col(c) for c in new.columns if c != key]])
     a, b = old.alias("old"), new.alias("new")
     on = F.col(f"old.{key}") == F.col(f"new.{key}")
     takes = F.col(f"new.{key}").isNotNull()
@@ -46,8 +47,8 @@ def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str], newer: s
 
 
 def update_by_key(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Columns of the rows whose key is in `new`, replaced where the new value isn't null; no row is added."""
-    given = new.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    """Columns of the rows whose key is in `new`, replaced where the new value isn't null; no row is added. Of new rows that repeat a key, the least counts."""
+    given = first_of_each(new.select(key, *columns), [key], [F.col(c) for c in columns]).select(key, *[F.col(c).alias(f"__{c}") for c in columns])
     rows = old.join(given, key, "left")
     return rows.select(*[F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in old.columns])
 

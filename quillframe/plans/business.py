@@ -82,7 +82,7 @@ def enum_order_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in a given order of classes, unknown ones last, then the greatest price: the first 20."""
     place = F.array_position(F.array(*[F.lit(p) for p in PRIORITIES]), F.col("o_orderpriority"))
     rank = F.when(place > 0, place).otherwise(len(PRIORITIES) + 1)
-    return read(spark, sf_dir, "orders").where("o_orderkey < 300").orderBy(rank, F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_orderpriority")
+    return read(spark, sf_dir, "orders").orderBy(rank, F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", "o_orderpriority")
 
 
 def upsert_newer_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ ORACLE_SQL = {
     "class_counts_with_total": "SELECT event_type, count(DISTINCT event_id) AS n_files, count(DISTINCT user_id) AS n_keys FROM events GROUP BY event_type UNION ALL SELECT 'listed', count(DISTINCT event_id), count(DISTINCT user_id) FROM events WHERE event_type IN ('click', 'view')",
     "acl_visible": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey = c_nationkey AND r_name IN ('ASIA', 'EUROPE'))",
     "scope_counts": "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000) AS n FROM nation",
-    "enum_order_topk": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey < 300 ORDER BY CASE o_orderpriority WHEN '2-HIGH' THEN 1 WHEN '5-LOW' THEN 2 WHEN '1-URGENT' THEN 3 ELSE 4 END, o_totalprice DESC, o_orderkey LIMIT 20",
+    "enum_order_topk": "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '2-HIGH' THEN 1 WHEN '5-LOW' THEN 2 WHEN '1-URGENT' THEN 3 ELSE 4 END, o_totalprice DESC, o_orderkey LIMIT 20",
     "upsert_newer_wins": """WITH o AS (SELECT user_id, ts, value FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC, event_id DESC) = 1),
   n AS (SELECT user_id, ts, value FROM events WHERE event_id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, value DESC, event_id DESC) = 1)
   SELECT user_id, CASE WHEN o.ts IS NULL OR n.ts > o.ts THEN n.ts ELSE o.ts END AS ts, CASE WHEN o.ts IS NULL OR n.ts > o.ts THEN n.value ELSE o.value END AS value FROM o FULL JOIN n USING (user_id)""",

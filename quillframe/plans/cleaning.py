@@ -13,7 +13,7 @@ from .tables import read
 
 def amount_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices rendered as `1 234,56 €`, some without a number."""
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    lines = read(spark, sf_dir, "lineitem")
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     shown = F.concat(F.expr("cast(round(l_extendedprice * 100) as bigint) div 100000").cast("string"), F.lit(" "), F.lpad((F.expr("cast(round(l_extendedprice * 100) as bigint) div 100") % 1000).cast("string"), 3, "0"), F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(" €"))
     raw = F.when(F.col("l_linenumber") == 7, F.lit("€")).otherwise(shown)
@@ -21,7 +21,7 @@ def amount_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def percentage_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    lines = read(spark, sf_dir, "lineitem")
     raw = F.concat(F.lit("TVA "), F.round(F.col("l_tax") * 100).cast("int").cast("string"), F.lit("%"))
     found = money.percentage(raw)
     return lines.select("l_orderkey", "l_partkey", "l_linenumber", found.alias("percentage"), F.round(money.rate(found), 4).alias("rate"), money.ratio_text(F.col("l_tax")).alias("shown"))
@@ -37,12 +37,12 @@ def siret_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bic_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier")
-    raw = F.concat(F.lit(" bnpafrpp"), F.when(F.col("s_suppkey") % 3 == 0, F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0")).when(F.col("s_suppkey") % 3 == 1, F.lit("")).otherwise("x"), F.lit(" "))
+    raw = F.concat(F.lit(" bnpa frpp\n"), F.when(F.col("s_suppkey") % 3 == 0, F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0")).when(F.col("s_suppkey") % 3 == 1, F.lit("")).otherwise("x"), F.lit(" "))
     return s.select("s_suppkey", ids.bic(raw).alias("bic"))
 
 
 def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "customer").where("c_custkey < 300")
+    c = read(spark, sf_dir, "customer")
     return c.select("c_custkey", ids.french_iban(F.lit("30001"), F.lpad((F.col("c_custkey") % 100).cast("string"), 5, "0"), F.lpad((F.col("c_custkey") * 7907).cast("string"), 11, "0")).alias("iban"))
 
 
@@ -56,12 +56,12 @@ def iban_mod97(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iban_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers with one wrong digit come back where no other substitution is valid too; spaced lower-case ones are cleaned."""
     wrong = F.concat(F.substring("iban", 1, 10), F.pmod(F.substring("iban", 11, 1).cast("int") + 3, F.lit(10)).cast("string"), F.substring("iban", 12, 16))
-    rows = _accounts(spark, sf_dir).where("c_custkey < 60")
+    rows = _accounts(spark, sf_dir)
     return rows.select("c_custkey", ids.iban(wrong).alias("corrected"), (ids.iban(F.lower(ids.in_groups(F.col("iban"), 4))) == F.col("iban")).alias("cleaned"))
 
 
 def normalize_name_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = read(spark, sf_dir, "customer").where("c_custkey < 500")
+    n = read(spark, sf_dir, "customer")
     raw = F.concat(F.lit("  saint-"), F.lower("c_mktsegment"), F.lit("  SUR "), F.col("c_mktsegment"))
     return n.select("c_custkey", text.name_case(raw).alias("city"))
 
@@ -76,7 +76,7 @@ def postal_address_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lots_full_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lists of each order's lines, by line number, merged to one."""
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey < 1000").dropDuplicates(["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
+    lines = read(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber")
     item = lambda cond, name: F.array_sort(F.collect_list(F.when(cond, F.struct(F.col("l_linenumber").alias("numero_lot"), F.concat(F.lit(name), F.col("l_linenumber")).alias("v")))))
     rows = lines.groupBy("l_orderkey").agg(item(F.col("l_linenumber") < 5, "t").alias("titles"), item(F.col("l_linenumber") > 2, "a").alias("amounts"))
     merged = structured.merged_lots({"titre": (F.col("titles"), "v"), "montant": (F.col("amounts"), "v")})
@@ -141,44 +141,37 @@ def class_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def multiset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Return flags of an order's lines against those of its even lines twice over."""
-    lines = read(spark, sf_dir, "lineitem").where("l_orderkey < 3000")
+    lines = read(spark, sf_dir, "lineitem")
     rows = lines.groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("a"), F.collect_list(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag"))).alias("b"))
     return rows.select("l_orderkey", same_multiset(F.col("a"), F.concat("b", "b")).alias("same"), contained(F.col("a"), F.col("b")).alias("inside"))
 
 
-def json_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that only one of two event maps has, and those of both."""
-    e = read(spark, sf_dir, "events")
-    a, b = F.array(F.lit("k"), F.col("event_type")), F.array(F.lit("k"), F.lit("view"), F.lit("click"))
-    return e.select("event_id", F.array_sort(F.array_except(a, b)).alias("only_a"), F.array_sort(F.array_except(b, a)).alias("only_b"), F.array_sort(F.array_intersect(a, b)).alias("both"))
-
-
-QUERIES = {f.__name__: f for f in (amount_parse, percentage_parse, siret_parse, bic_parse, iban_mod97, iban_correct, normalize_name_city, postal_address_clean, lots_full_merge, json_props_path, api_date_parse, activity_kinds, field_accuracy, global_accuracy, errors_per_file, accuracy_against_best, confusion_matrix, class_recall, multiset_match, json_diff)}
+QUERIES = {f.__name__: f for f in (amount_parse, percentage_parse, siret_parse, bic_parse, iban_mod97, iban_correct, normalize_name_city, postal_address_clean, lots_full_merge, json_props_path, api_date_parse, activity_kinds, field_accuracy, global_accuracy, errors_per_file, accuracy_against_best, confusion_matrix, class_recall, multiset_match)}
 
 _MATCHES = """WITH m AS (SELECT doc_id, 0 AS position, 'quality' AS field, doc_id % 9 <> 0 AS match, (doc_id + 1) % 9 <> 0 AS best FROM labels
   UNION ALL SELECT doc_id, 1, 'toxic', doc_id % 13 <> 0, (doc_id + 1) % 13 <> 0 FROM labels)"""
 _PREDICTED = "WITH p AS (SELECT quality, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS predicted FROM labels)"
 _KEY = "(97 - (89 * 30001 + 15 * (c_custkey % 100) + 3 * (c_custkey * 7907)) % 97)"
 _BBAN = f"'30001' || lpad((c_custkey % 100)::VARCHAR, 5, '0') || lpad((c_custkey * 7907)::VARCHAR, 11, '0') || lpad({_KEY}::VARCHAR, 2, '0')"
-_IBAN = f"""WITH b AS (SELECT c_custkey, {_BBAN} AS bban FROM customer WHERE c_custkey < 300),
+_IBAN = f"""WITH b AS (SELECT c_custkey, {_BBAN} AS bban FROM customer),
   i AS (SELECT c_custkey, 'FR' || lpad((98 - (bban || '152700')::HUGEINT % 97)::VARCHAR, 2, '0') || bban AS iban FROM b)"""
 
 ORACLE_SQL = {
     "amount_parse": """SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL ELSE (round(l_extendedprice * 100)::BIGINT // 100)::VARCHAR || '.' || lpad((round(l_extendedprice * 100)::BIGINT % 100)::VARCHAR, 2, '0') END AS amount
-  FROM lineitem WHERE l_orderkey < 2000""",
-    "percentage_parse": "SELECT l_orderkey, l_partkey, l_linenumber, round(l_tax * 100)::INT || '.00' AS percentage, round(CASE WHEN round(l_tax * 100) > 1 THEN round(l_tax * 100) / 100 ELSE round(l_tax * 100) END, 4) AS rate, round(l_tax * 100)::INT || '%' AS shown FROM lineitem WHERE l_orderkey < 2000",
+  FROM lineitem""",
+    "percentage_parse": "SELECT l_orderkey, l_partkey, l_linenumber, round(l_tax * 100)::INT || '.00' AS percentage, round(CASE WHEN round(l_tax * 100) > 1 THEN round(l_tax * 100) / 100 ELSE round(l_tax * 100) END, 4) AS rate, round(l_tax * 100)::INT || '%' AS shown FROM lineitem",
     "siret_parse": """WITH d AS (SELECT c_custkey, lpad((c_custkey * 7919)::VARCHAR, 14, '1') AS s FROM customer), v AS (SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN s END AS siret FROM d)
   SELECT c_custkey, siret, trim(regexp_replace(siret, '(.{3})', '\\1 ', 'g')) AS shown FROM v""",
     "bic_parse": "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'BNPAFRPP' || lpad((s_suppkey % 1000)::VARCHAR, 3, '0') WHEN 1 THEN 'BNPAFRPP' END AS bic FROM supplier",
     "iban_mod97": f"{_IBAN} SELECT c_custkey, iban, c_custkey % 2 = 0 AS valid, trim(regexp_replace(iban, '(.{{4}})', '\\1 ', 'g')) AS shown FROM i",
-    "iban_correct": f"""{_IBAN}, w AS (SELECT c_custkey, iban, iban[:10] || ((iban[11]::INT + 3) % 10) || iban[12:] AS x FROM i WHERE c_custkey < 60),
+    "iban_correct": f"""{_IBAN}, w AS (SELECT c_custkey, iban, iban[:10] || ((iban[11]::INT + 3) % 10) || iban[12:] AS x FROM i),
   t AS (SELECT c_custkey, x[:p - 1] || d || x[p + 1:] AS y FROM w, range(5, 28) r(p), range(10) q(d) WHERE x[p] <> d::VARCHAR UNION ALL SELECT c_custkey, 'GR' || x[3:] FROM w),
   g AS (SELECT DISTINCT c_custkey, y FROM t WHERE CASE WHEN y[:2] = 'FR' THEN y[5:]::HUGEINT % 97 = 0 AND (y[5:] || '1527' || y[3:4])::HUGEINT % 97 = 1 ELSE (y[5:] || '1627' || y[3:4])::HUGEINT % 97 = 1 END)
   SELECT c_custkey, CASE WHEN count(y) = 1 THEN min(y) END AS corrected, true AS cleaned FROM w LEFT JOIN g USING (c_custkey) GROUP BY c_custkey""",
-    "normalize_name_city": "SELECT c_custkey, 'Saint-' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Sur ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS city FROM customer WHERE c_custkey < 500",
+    "normalize_name_city": "SELECT c_custkey, 'Saint-' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Sur ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS city FROM customer",
     "postal_address_clean": """WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN '75' || lpad((c_custkey % 1000)::VARCHAR, 3, '0') END AS code FROM customer), b AS (SELECT *, CASE WHEN c_custkey % 5 = 0 OR code IS NOT NULL THEN 'France' END AS country FROM a)
   SELECT c_custkey, code, country, concat_ws(', ', c_custkey || ' rue de la paix', concat_ws(' ', code, 'Paris'), country) AS line FROM b""",
-    "lots_full_merge": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 1000)
+    "lots_full_merge": """WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
   SELECT l_orderkey, l_linenumber AS numero_lot, CASE WHEN l_linenumber < 5 THEN 't' || l_linenumber END AS titre, CASE WHEN l_linenumber > 2 THEN 'a' || l_linenumber END AS montant FROM l""",
     "json_props_path": "SELECT event_id, (props->>'$.k')::BIGINT AS k, [(props->>'$.k')::BIGINT, 1] AS ks FROM events",
     "api_date_parse": """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) // 1000 END AS ms, CASE WHEN event_id % 7 <> 0 THEN strftime(ts, 'datetime''%Y-%m-%dT%H:%M:%S''') END AS literal FROM events""",
@@ -189,8 +182,6 @@ ORACLE_SQL = {
     "accuracy_against_best": f"{_MATCHES} SELECT field, count(*) FILTER (best AND NOT match) AS regressions, count(*) FILTER (match AND NOT best) AS improvements, round(count(*) FILTER (match) / count(*) - count(*) FILTER (best) / count(*), 6) AS delta FROM m GROUP BY field",
     "confusion_matrix": f"{_PREDICTED} SELECT quality, predicted, count(*) AS n FROM p GROUP BY ALL",
     "class_recall": f"{_PREDICTED} SELECT quality, count(*) AS total, count(*) FILTER (quality = predicted) AS correct, round(count(*) FILTER (quality = predicted) / count(*), 6) AS recall FROM p GROUP BY quality",
-    "multiset_match": """WITH o AS (SELECT l_orderkey, list_sort(list(l_returnflag)) AS a, coalesce(list(l_returnflag) FILTER (l_linenumber % 2 = 0), []) AS b FROM lineitem WHERE l_orderkey < 3000 GROUP BY l_orderkey)
+    "multiset_match": """WITH o AS (SELECT l_orderkey, list_sort(list(l_returnflag)) AS a, coalesce(list(l_returnflag) FILTER (l_linenumber % 2 = 0), []) AS b FROM lineitem GROUP BY l_orderkey)
   SELECT l_orderkey, a = list_sort(list_concat(b, b)) AS same, list_has_all(b, a) AS inside FROM o""",
-    "json_diff": """SELECT event_id, list_sort(list_filter(list_distinct(['k', event_type]), lambda x: NOT list_contains(['k', 'view', 'click'], x))) AS only_a, list_sort(list_filter(['k', 'view', 'click'], lambda x: NOT list_contains(['k', event_type], x))) AS only_b,
-  list_sort(list_filter(['k', 'view', 'click'], lambda x: list_contains(['k', event_type], x))) AS both FROM events""",
 }

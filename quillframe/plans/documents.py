@@ -55,7 +55,9 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "chunk_id", "start_char", "end_char", F.sha2("text", 256).alias("text_hash"))
 
 
-CHUNKS_SQL = """WITH trimmed AS (SELECT doc_id, trim(text) AS t FROM documents WHERE length(trim(text)) > 0),
+#: The text without white space at its ends.
+STRIP = f"regexp_replace(text, '^{text.BLANK}+|{text.BLANK}+$', '', 'g')"
+CHUNKS_SQL = f"""WITH trimmed AS (SELECT doc_id, {STRIP} AS t FROM documents WHERE length({STRIP}) > 0),
   chunks AS (SELECT doc_id, i::INT AS chunk_id, (i * 800)::INT AS start_char, least(i * 800 + 1000, length(t))::INT AS end_char, substring(t, (i * 800 + 1)::INT, 1000) AS text
   FROM trimmed, unnest(range((ceil(length(t) / 800.0))::BIGINT)) AS r(i))"""
 
@@ -66,7 +68,7 @@ def prefix_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Non-blank texts: first 30 characters with dots, displayed or not by length of text."""
-    docs = read(spark, sf_dir, "documents").where(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
+    docs = read(spark, sf_dir, "documents").where(F.length(text.stripped(F.col("text"))) > 0)
     return docs.select("doc_id", F.concat(F.substring("text", 1, 30), F.lit(" ...")).alias("shown"), (text.count_words(F.col("text")) > 5000).alias("is_long"), F.col("lang").isin("en", "fr").alias("is_supported"))
 
 
@@ -77,7 +79,7 @@ def multi_column_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each language's documents, the three most like its first one by single-word TF-IDF cosine."""
-    docs = read(spark, sf_dir, "documents").where("doc_id < 200 and text is not null")
+    docs = read(spark, sf_dir, "documents").where("text is not null")
     weights = retrieval.tfidf(docs.select("lang", "doc_id", "text"), ["lang", "doc_id"], "text", ["lang"])
     first = docs.groupBy("lang").agg(F.min("doc_id").alias("doc_id"))
     query = weights.join(first, ["lang", "doc_id"]).select("lang", "term", F.col("weight").alias("q"))
@@ -153,9 +155,9 @@ ORACLE_SQL = {
     "incremental_work_filter": "SELECT doc_id, nullif(lang, 'es') AS classification FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL AND (nullif(lang, 'es') IS NULL OR lang IN ('en', 'fr'))",
     "chunk_documents": f"{CHUNKS_SQL} SELECT doc_id, chunk_id, start_char, end_char, sha256(text) AS text_hash FROM chunks",
     "prefix_filter": f"{FILES_SQL} SELECT doc_id, file FROM files WHERE starts_with(file, 'src1/')",
-    "text_predicates": f"SELECT doc_id, substring(text, 1, 30) || ' ...' AS shown, {WORDS_SQL} > 5000 AS is_long, lang IN ('en', 'fr') AS is_supported FROM documents WHERE length(trim(coalesce(text, ''))) > 0",
+    "text_predicates": f"SELECT doc_id, substring(text, 1, 30) || ' ...' AS shown, {WORDS_SQL} > 5000 AS is_long, lang IN ('en', 'fr') AS is_supported FROM documents WHERE length({STRIP}) > 0",
     "multi_column_search": "SELECT doc_id FROM documents WHERE (contains(lower(text), 'the') OR contains(lower(source), 'the')) AND (contains(lower(text), 'src1') OR contains(lower(source), 'src1'))",
-    "lexical_topk": "WITH " + TERMS_SQL.replace("WHERE text IS NOT NULL", "WHERE text IS NOT NULL AND doc_id < 200") + """, firsts AS (SELECT lang, min(doc_id) AS doc_id FROM words GROUP BY lang),
+    "lexical_topk": "WITH " + TERMS_SQL + """, firsts AS (SELECT lang, min(doc_id) AS doc_id FROM words GROUP BY lang),
   q AS (SELECT f.lang, s.term, s.weight FROM scaled s JOIN firsts f USING (doc_id)),
   scores AS (SELECT q.lang, s.doc_id, round(sum(s.weight * q.weight), 6) AS score FROM scaled s JOIN words USING (doc_id) JOIN q ON q.term = s.term AND q.lang = words.lang GROUP BY ALL)
   SELECT lang, doc_id, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id)::INT AS rank FROM scores QUALIFY rank <= 3""",

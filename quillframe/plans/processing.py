@@ -50,7 +50,7 @@ def rate_gate_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rate_limit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of each user in windows of two days that the first one opens, five at most."""
-    calls = read(spark, sf_dir, "events").where("user_id < 40").select("user_id", F.unix_timestamp("ts").cast("double").alias("at"))
+    calls = read(spark, sf_dir, "events").select("user_id", F.unix_timestamp("ts").cast("double").alias("at"))
     return limits.window_counts(calls, "user_id", "at", 172_800, 5)
 
 
@@ -78,7 +78,7 @@ ORACLE_SQL = {
     "next_step": "SELECT l_orderkey AS job_id, l_linenumber AS \"order\", lead(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS next_order FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)",
     "rate_gate_delays": """WITH c AS (SELECT event_id, user_id, epoch(date_trunc('day', ts))::DOUBLE AS "at", row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('day', ts), event_id) - 1 AS i FROM events)
   SELECT event_id, i * 6.0::DOUBLE + max("at" - i * 6.0::DOUBLE) OVER (PARTITION BY user_id ORDER BY "at", event_id ROWS UNBOUNDED PRECEDING) - "at" AS delay FROM c""",
-    "rate_limit_counts": """WITH RECURSIVE c AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS "at", (row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))) - 1)::INT AS call_no FROM events WHERE user_id < 40),
+    "rate_limit_counts": """WITH RECURSIVE c AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS "at", (row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))) - 1)::INT AS call_no FROM events),
   r AS (SELECT user_id, call_no, "at", 1::BIGINT AS count, "at" + 172800 AS expiry FROM c WHERE call_no = 0
   UNION ALL SELECT c.user_id, c.call_no, c."at", CASE WHEN c."at" < r.expiry THEN r.count + 1 ELSE 1 END, CASE WHEN c."at" < r.expiry THEN r.expiry ELSE c."at" + 172800 END FROM r JOIN c ON c.user_id = r.user_id AND c.call_no = r.call_no + 1)
   SELECT user_id, call_no, "at", count, count > 5 AS limited FROM r""",
