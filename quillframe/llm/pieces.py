@@ -18,7 +18,7 @@ BEST = 4
 #: A character without a piece is its UTF-8 bytes, all of them so much below the least score.
 BYTE_PENALTY = 10.0
 #: Units (words) that a worker remembers.
-CACHE_UNITS = 300_000
+CACHE_UNITS = 1_000_000
 SPACE = "\u2581"
 
 _models: dict[str, Pieces] = {}
@@ -50,7 +50,25 @@ class Pieces:
         inside = "".join(map(re.escape, sorted(joined - {SPACE})))
         whole = all(SPACE not in x.lstrip(SPACE) for x in self.ids)
         self.unit = re.compile(f"{SPACE}*[{inside}]+|{SPACE}+|[^{inside}{SPACE}]" if whole else f"[{inside}{SPACE}]+|[^{inside}{SPACE}]")
-        self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.shown = [x.replace(SPACE, " ") for x in self.text_of]
+        self.is_byte = np.array([i in self.byte_of for i in range(len(self.text_of))])
+        self._forget()
+
+    def _forget(self) -> None:
+        """Drops what is known of units. Entry 0 stands for the character SPACE, which is its bytes."""
+        self.place: dict[str | None, int] = {None: 0}
+        self.unit_ids = [self.bytes_of(SPACE) if self.byte_ids else b""]
+        self.totals, self.losses = np.full(1 << 12, self.bytes_score), np.full(1 << 12, np.inf)
+        self.options: dict[str, list[tuple[float, bytes]]] = {}
+
+    def _learn(self, unit: str) -> int:
+        ids, score, loss = self.best(unit)
+        i = self.place[unit] = len(self.unit_ids)
+        self.unit_ids.append(ids)
+        if i == len(self.totals):
+            self.totals, self.losses = np.append(self.totals, np.zeros(i)), np.append(self.losses, np.zeros(i))
+        self.totals[i], self.losses[i] = score, loss
+        return i
 
     def edges(self, unit: str) -> list[list[tuple[int, float, str]]]:
         """For each end, the pieces that end there: (start, score, piece)."""
@@ -98,11 +116,7 @@ class Pieces:
         while at:
             pieces.append(unit[back[at] : at])
             at = back[at]
-        out = self.ids_of(pieces[::-1]), first[-1], first[-1] - second[-1]
-        if len(self.known) >= CACHE_UNITS:
-            self.known.clear()
-        self.known[unit] = out
-        return out
+        return self.ids_of(pieces[::-1]), first[-1], first[-1] - second[-1]
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         """Scores and ids of the n best segmentations, best first.
@@ -138,14 +152,21 @@ class Pieces:
         units: list[str | None] = []
         for i, part in enumerate(text.split(SPACE)):
             units += [None] * (i > 0) + self.unit.findall((SPACE if not i else "") + part.replace(" ", SPACE))
-        mark = self.bytes_of(SPACE) if None in units else b""
-        known = self.known
-        found = [(known.get(u) or self.best(u)) if u is not None else (mark, self.bytes_score, np.inf) for u in units]
-        parts, total = [x[0] for x in found], float(sum(x[1] for x in found))
+        if len(self.place) > CACHE_UNITS:
+            self._forget()
+        places = list(map(self.place.get, units))
+        if None in places:
+            places = [self.place.get(u) or self._learn(u) if u is not None else 0 for u in units]
+        at = np.array(places)
+        parts, total, losses = list(map(self.unit_ids.__getitem__, places)), float(self.totals[at].sum()), self.losses[at]
+        least = np.flatnonzero(losses <= np.partition(losses, n - 2)[n - 2]) if len(losses) > n - 1 > 0 else np.arange(len(losses))
+        least = least[np.argsort(losses[least], kind="stable")][: n - 1]
         results: list[tuple[float, dict[int, bytes]]] = [(0.0, {})]
-        for at in heapq.nsmallest(n - 1, (i for i, x in enumerate(found) if x[2] < np.inf), key=lambda i: (found[i][2], i)):
-            options = self.n_best(units[at], n)
-            results = heapq.nsmallest(n, ((loss + options[0][0] - score, taken if not k else taken | {at: ids}) for loss, taken in results for k, (score, ids) in enumerate(options)), key=lambda r: r[0])
+        for i in least[losses[least] < np.inf].tolist():
+            options = self.options.get(units[i])
+            if options is None or len(options) < n:
+                options = self.options[units[i]] = self.n_best(units[i], n)
+            results = heapq.nsmallest(n, ((loss + options[0][0] - score, taken if not k else taken | {i: ids}) for loss, taken in results for k, (score, ids) in enumerate(options[:n])), key=lambda r: r[0])
         out = []
         for loss, taken in results:
             mine = parts
@@ -158,17 +179,16 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids of any segmentation: bytes are put together, SPACEs are spaces, the one before the text goes."""
-        out, held = [], bytearray()
-        for i in ids.tolist():
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held.clear()
-            out.append(self.text_of[i].replace(SPACE, " "))
-        if held:
-            out.append(held.decode("utf-8", "replace"))
+        whole = self.is_byte[ids]
+        if not whole.any():
+            return "".join(map(self.shown.__getitem__, ids.tolist()))[1:]
+        cuts = np.flatnonzero(np.diff(whole)) + 1
+        out = []
+        for some, bytewise in zip(np.split(ids, cuts), whole[np.append(0, cuts)]):
+            if bytewise:
+                out.append(bytes(map(self.byte_of.__getitem__, some.tolist())).decode("utf-8", "replace"))
+            else:
+                out.append("".join(map(self.shown.__getitem__, some.tolist())))
         return "".join(out)[1:]
 
 
@@ -181,7 +201,9 @@ def pieces(path: str) -> Pieces:
 def encoded(text, path: str, n: int = BEST):
     """A column, array of struct(score double, ids array<int>): the n best segmentations of each text, best first.
 
-    Null and empty texts have one segmentation without ids. Texts with fewer segmentations have fewer. Scores are the pieces' sums.
+    A segmentation's score is the sum of its pieces' scores in the model file; those of a model of merges are minus the ranks of its
+    merges, so that the best has the least ranks, which is not always what the merges give. Of equal scores, the one whose changed units
+    stand first comes first. Rows are on their own: repeats give the same, an empty table none. Null and empty texts have one segmentation without ids. Texts with fewer segmentations have fewer. Scores are the pieces' sums.
     """
 
     @F.pandas_udf("array<struct<score:double,ids:array<int>>>")
