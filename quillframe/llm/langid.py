@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .shared import saved, table
 
 ORDER = 4
-#: A character is one of 2^12 symbols, so that ORDER of them fit into a long.
-SYMBOL_BITS = 12
+#: A character is one of 2^16 symbols, so that ORDER of them fit into a long.
+SYMBOL_BITS = 16
 SPACE = 32
 #: Labels beyond this many are an error: the arrays hold a float for each language.
 MAX_LANGUAGES = 256
@@ -28,11 +28,11 @@ SPREADS, SLACK = 6.0, 0.35
 
 @lru_cache(1)
 def _symbols() -> np.ndarray:
-    """Symbol of each code point: letters are themselves below 2048 and hashed into the next 2048 above; all else is a space."""
+    """Symbol of each code point: letters are themselves below 2^16 and hashed into the private area (no letters) above; all else is a space."""
     letters = np.fromiter(map(str.isalpha, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
     points = np.arange(sys.maxunicode + 1, dtype=np.int64)
-    own = np.where(points < 2048, points, 2048 + (points * 2654435761 >> 7) % 2048)
-    return np.where(letters, own, SPACE).astype(np.int16)
+    own = np.where(points < 1 << SYMBOL_BITS, points, 0xE000 + (points * 2654435761 >> 7) % 6400)
+    return np.where(letters, own, SPACE).astype(np.uint16)
 
 
 def encoded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,7 +41,7 @@ def encoded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     Texts are lower-cased, runs of anything but letters are one space, and ORDER-1 spaces stand before each text.
     """
     symbols = _symbols()
-    pad = np.full(ORDER - 1, SPACE, np.int16)
+    pad = np.full(ORDER - 1, SPACE, np.uint16)
     parts, owner, letters = [], [], np.zeros(len(texts), np.int64)
     for i, x in enumerate(texts):
         s = symbols[np.frombuffer((x or "").lower().encode("utf-32-le", "replace"), np.uint32)]
@@ -149,7 +149,7 @@ class Model:
         first, held = 0, 0
         for i, x in enumerate(texts):
             held += len(x or "")
-            if held > 500_000 or i == len(texts) - 1:
+            if held > 200_000 or i == len(texts) - 1:
                 grams, owner, letters[first : i + 1] = encoded(texts[first : i + 1])
                 if len(grams):
                     mine, starts = np.unique(owner, return_index=True)
