@@ -9,8 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType
 
-from .shared import maybe_broadcast, saved, table
+from .shared import Scratch, maybe_broadcast, table
 
 #: Lines that differ in up to EDITS code points are repeats. Lines of fewer than MIN_CHARS are at most exact repeats.
 EDITS, MIN_CHARS = 2, 20
@@ -117,9 +118,15 @@ def keys_of(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(keys).view(np.int64), np.concatenate(owners), np.concatenate(roles)
 
 
+def _id(docs: DataFrame, doc_id: str) -> Column:
+    """Ids as they are if they are whole numbers or texts, else as texts."""
+    kind = docs.schema[doc_id].dataType
+    return F.col(doc_id) if isinstance(kind, (IntegralType, StringType)) else F.col(doc_id).cast("string")
+
+
 def lines_of(docs: DataFrame, doc_id: str, text: str, shortest: int = MIN_CHARS) -> DataFrame:
-    """doc_id, line_no (from 0), line of `shortest` code points and more; blank ones of fewer than MIN_CHARS are left out."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
+    """doc_id, text_key (hash of the row's text), line_no (from 0), line of `shortest` code points and more; blank ones of fewer than MIN_CHARS are left out."""
+    rows = docs.select(_id(docs, doc_id).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
     return rows.where((F.length("line") >= MIN_CHARS) | (F.length("line") >= shortest) & F.col("line").rlike(r"\S"))
 
 
@@ -128,10 +135,10 @@ def line_hash(salt: int) -> Column:
 
 
 def _order() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "line_no")
+    return F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key", "line_no")
 
 
-def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+def near_lines(lines: DataFrame, scratch: Scratch, edits: int = EDITS) -> DataFrame:
     """h1, h2 (hashes of a line), earliest (order): for each line that has another one within `edits` edits, the first such occurrence.
 
     Only ids of lines are shuffled, until keys are known under which different lines meet; then the texts of those alone. However
@@ -159,22 +166,24 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     posting = "key long, id long, role int"
     posted = ids_of.mapInPandas(post(), posting)
     met = posted.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.bit_or("role").alias("role"))
-    met = saved(met.where("a != b and role = 3").select("key"), "keys")
+    met = scratch.saved(met.where("a != b and role = 3").select("key"), "keys")
     if met.count() <= BROADCAST_ROWS:
         keys = np.sort(met.toPandas()["key"].to_numpy(np.int64))
         posted = ids_of.mapInPandas(post(lines.sparkSession.sparkContext.broadcast(keys)), posting)
     else:
         posted = posted.join(met, "key", "left_semi")
-    found = saved(posted.groupBy("key", "id").agg(F.bit_or("role").alias("role")), "posted")
+    found = scratch.saved(posted.groupBy("key", "id").agg(F.bit_or("role").alias("role")), "posted")
     ids = found.select("id").distinct()
     texts = lines.withColumns({"id": line_hash(1), "h2": line_hash(2)})
     texts = texts.join(maybe_broadcast(ids, ids.count(), BROADCAST_ROWS), "id", "left_semi").groupBy("id", "h2", "line").agg(F.min(_order()).alias("first"))
-    texts = saved(texts, "texts")
+    texts = scratch.saved(texts, "texts")
     sizes = found.groupBy("key").agg(F.count("*").alias("n")).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     rows = found.join(sizes, "key").join(texts, "id")
     mine = F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
-    both = lambda bit, a, b: rows.where(F.col("role").bitwiseAND(F.lit(bit)) != 0).select("key", a.alias("ic"), b.alias("pc"), F.lit(bit).alias("role"), "id", "h2", "line", "first.*")
+    kind = lines.schema["doc_id"].dataType
+    named = F.coalesce(F.col("first.doc_id"), F.lit(0 if isinstance(kind, IntegralType) else "").cast(kind)).alias("doc_id")
+    both = lambda bit, a, b: rows.where(F.col("role").bitwiseAND(F.lit(bit)) != 0).select("key", a.alias("ic"), b.alias("pc"), F.lit(bit).alias("role"), "id", "h2", "line", "first.nameless", named, "first.text_key", "first.line_no")
     blocks = both(1, mine, F.explode(every)).unionByName(both(2, F.explode(every), mine))
     at = ["key", "ic", "pc"]
     blocks = blocks.repartition(*at).sortWithinPartitions(*at, "role")
@@ -183,8 +192,8 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         rows = (r for pdf in batches for r in pdf.itertuples(index=False, name=None))
         for _, group in groupby(rows, key=lambda r: r[:3]):
             indexed, best = [], {}
-            for _, _, _, role, i, h2, line, nameless, doc, no in group:
-                order = (nameless, -1 if nameless else doc, no)
+            for _, _, _, role, i, h2, line, *order in group:
+                order = tuple(order)
                 if role == 1:
                     indexed.append((line, i, h2, order))
                     continue
@@ -193,46 +202,51 @@ def near_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
                         best[i, h2] = min(first, best.get((i, h2), first))
                         best[j, g2] = min(order, best.get((j, g2), order))
             if best:
-                yield pd.DataFrame([(*k, n, None if n else d, no) for k, (n, d, no) in best.items()], columns=["h1", "h2", "nameless", "doc_id", "line_no"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame([(*k, *order) for k, order in best.items()], columns=["h1", "h2", "nameless", "doc_id", "text_key", "line_no"])
 
-    near = blocks.mapInPandas(compare, "h1 long, h2 long, nameless boolean, doc_id long, line_no int")
-    return near.groupBy("h1", "h2").agg(F.min(F.struct("nameless", "doc_id", "line_no")).alias("earliest"))
+    near = blocks.mapInPandas(compare, f"h1 long, h2 long, nameless boolean, doc_id {kind.simpleString()}, text_key long, line_no int")
+    near = near.withColumn("doc_id", F.when(~F.col("nameless"), F.col("doc_id")))
+    return near.groupBy("h1", "h2").agg(F.min(F.struct("nameless", "doc_id", "text_key", "line_no")).alias("earliest"))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
-    """doc_id, dropped (array of struct(line_no, near, source)): a row for each document that has lines to drop.
+    """doc_id, text_key, dropped (array of struct(line_no, near, source)): a row for each document that has lines to drop.
 
     Lines are what newlines separate; those of fewer than `shortest` code points are left alone, those of fewer than MIN_CHARS have no near repeats. In order of (doc_id,
-    line number), null ids last, a line is dropped if an equal one, or one within `edits` edits, stands before it
-    anywhere; source is the document of the first such. near: no equal one does. Rows that repeat a doc_id are one document, so are rows with a null one.
+    hash of the text, line number), null ids last, a line is dropped if an equal one, or one within `edits` edits, stands before it
+    anywhere; source is the id of the document of the first such. near: no equal one does. A document is an id and a text, so rows
+    without an id, or with one id, are documents of their own where their texts differ; rows that repeat both are one. Null texts have no lines; an empty table gives no rows.
+    Ids are whole numbers or texts; others are taken as texts. Other columns are not looked at.
     """
-    lines = lines_of(docs, doc_id, text, shortest).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = lines.select(line_hash(1).alias("h1"), line_hash(2).alias("h2"), "doc_id", "line_no")
-    classes = rows.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("n"))
-    near = near_lines(lines.where(F.length("line") >= MIN_CHARS), edits)
-    classes = classes.join(near, ["h1", "h2"], "left").where("n > 1 or earliest < first")
-    classes = saved(classes.select("h1", "h2", "first", F.when(F.col("earliest") < F.col("first"), F.col("earliest")).alias("earlier")), "classes")
+    with Scratch(docs.sparkSession) as scratch:
+        lines = lines_of(docs, doc_id, text, shortest)
+        rows = lines.select(line_hash(1).alias("h1"), line_hash(2).alias("h2"), "doc_id", "text_key", "line_no")
+        classes = rows.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("n"))
+        near = near_lines(lines.where(F.length("line") >= MIN_CHARS), scratch, edits)
+        classes = classes.join(near, ["h1", "h2"], "left").where("n > 1 or earliest < first")
+        classes = scratch.kept(classes.select("h1", "h2", "first", F.when(F.col("earliest") < F.col("first"), F.col("earliest")).alias("earlier")), "classes")
     own = F.col("first") == _order()
     gone = rows.join(maybe_broadcast(classes, classes.count(), BROADCAST_ROWS), ["h1", "h2"]).where(~own | F.col("earlier").isNotNull())
-    gone = gone.select("doc_id", F.struct("line_no", own.alias("near"), F.coalesce("earlier", "first")["doc_id"].alias("source")).alias("line"))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
+    gone = gone.select("doc_id", "text_key", F.struct("line_no", own.alias("near"), F.coalesce("earlier", "first")["doc_id"].alias("source")).alias("line"))
+    return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("line")).alias("dropped"))
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that repeated_lines() names; all columns. Rows that lose every line have an empty text."""
-    gone = repeated_lines(docs, doc_id, text, edits, shortest).select(F.col("doc_id").alias("__doc"), F.col("dropped")["line_no"].alias("__gone"))
-    rows = docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("__doc")), "left")
+    gone = repeated_lines(docs, doc_id, text, edits, shortest).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("dropped")["line_no"].alias("__gone"))
+    rows = docs.join(gone, (F.xxhash64(text) == F.col("__key")) & _id(docs, doc_id).eqNullSafe(F.col("__doc")), "left")
     kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col("__gone"), i))
     return rows.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document its lines, those dropped as exact and as near repeats, which, and the documents of their first occurrences."""
     docs = table(spark, sf_dir, "documents")
-    gone = saved(repeated_lines(docs, shortest=1), "dropped")
+    gone = Scratch(spark).kept(repeated_lines(docs, shortest=1), "dropped").withColumnRenamed("doc_id", "gone_id")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)
-    rows = docs.select("doc_id", F.size(lines).alias("n_lines"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.size(lines).alias("n_lines"))
     near = lambda yes: F.coalesce(F.size(F.filter("dropped", lambda x: x["near"] if yes else ~x["near"])), F.lit(0))
-    return rows.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select(
+    return rows.join(gone, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").select(
         "doc_id",
         "n_lines",
         near(False).alias("n_exact"),

@@ -333,6 +333,14 @@ def test_short_lines_repeat_exactly(spark):
     assert kept == {1: rows[0][1], 2: "shork\n\n  "}
 
 
+def test_rows_keep_their_own_lines(spark):
+    rows = [(None, "first line of a nameless row\nthis line is in both of them", "en", "s"), (None, "this line is in both of them\nand a line of its own", "en", "s"), (7, "seven has this line here\nshared by both sevens", "en", "s"), (7, "shared by both sevens\nanother line of seven", "en", "s")]
+    left = [x for r in lines.deduplicated(table(spark, rows)).collect() for x in r.text.split("\n") if x]
+    assert sorted(left) == sorted({x for _, t, _, _ in rows for x in t.split("\n")})
+    named = spark.createDataFrame([("a", "the very same line of text"), ("b", "the very same line of text\nmore"), (None, "the very same line of texts")], "doc_id string, text string")
+    assert {r.doc_id: r.text for r in lines.deduplicated(named).collect()} == {"a": "the very same line of text", "b": "more", None: ""}
+
+
 def test_large_keys_are_chunked(spark, monkeypatch):
     monkeypatch.setattr(lines, "CHUNK", 4)
     rows = [(i, f"User {i:04d} has logged in to the console today", "en", "s") for i in range(60)]
