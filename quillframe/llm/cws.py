@@ -11,49 +11,62 @@ from .shared import table
 
 #: Samples of a fingerprint, and bits kept of each.
 SAMPLES, SAMPLE_BITS = 64, 16
-#: Words are hashed into so many terms; a term's weight is 1 + floor(log2(count)), LEVELS at most. The table of
-#: all samples has BUCKETS * LEVELS rows, whatever the input: 33 MB.
+#: A word's hash gives it one of BUCKETS draws of c and, by other bits, one of BUCKETS draws of r and beta, so BUCKETS^2 kinds of words.
+#: What follows from r and beta is in a table for counts up to LEVELS, and worked out in place for greater ones. The tables have a
+#: fixed size, 37 MB, whatever the input.
 BUCKETS, LEVELS = 8192, 8
 SPACES = "[\\x20\\x09-\\x0D]+"
 #: Documents in a block of neighbours, and the most blocks.
 BLOCK_ROWS, MAX_BLOCKS = 128, 65_536
 
 
-def sample_table(spark: SparkSession, samples: int = SAMPLES) -> DataFrame:
-    """cell (bucket * LEVELS + weight - 1) to keys: for each sample, ln a in the high bits and a hash of (term, t) in the low ones.
+def _uniform(key: str, k: Column, i: int) -> Column:
+    return (F.shiftrightunsigned(F.xxhash64(key, k, F.lit(i)), 11) + 0.5) * 2.0**-53
 
-    For a term, a sample has r, c ~ Gamma(2, 1) and beta ~ U(0, 1). With weight w: t = floor(ln w / r + beta),
-    ln y = r (t - beta), ln a = ln c - ln y - r. A document's sample is the (term, t) of its least a, so that of
-    the least key; two documents agree in a sample as often as their generalised Jaccard similarity.
-    """
-    uniform = lambda k, i: (F.shiftrightunsigned(F.xxhash64("bucket", k, F.lit(i)), 11) + 0.5) * 2.0**-53
-    gamma = lambda k, i: -F.log(uniform(k, i) * uniform(k, i + 1))
-    cells = spark.range(BUCKETS * LEVELS).select(F.col("id").alias("cell"), F.expr(f"id div {LEVELS}").alias("bucket"), F.log((F.col("id") % LEVELS + 1).cast("double")).alias("log_w"))
-    drawn = F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda k: F.struct(gamma(k, 0).alias("r"), F.log(gamma(k, 2)).alias("log_c"), uniform(k, 4).alias("beta")))
-    drawn = F.transform(drawn, lambda x: F.struct(x["r"].alias("r"), x["log_c"].alias("log_c"), x["beta"].alias("beta"), F.floor(F.col("log_w") / x["r"] + x["beta"]).alias("t")))
 
-    def key(x: Column) -> Column:
-        log_a = x["log_c"] - x["r"] * (x["t"] - x["beta"]) - x["r"]
-        high = F.shiftleft(F.floor((log_a + 128) * 2.0**32).cast("long"), SAMPLE_BITS)
-        return high.bitwiseOR(F.xxhash64("bucket", x["t"]).bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1)))
+def _gamma(key: str, k: Column, i: int) -> Column:
+    return -F.log(_uniform(key, k, i) * _uniform(key, k, i + 1))
+
+
+def _packed(value: Column, low: Column) -> Column:
+    """Fixed point in the high bits, a hash in the low ones; sums of such numbers are of that kind."""
+    return F.shiftleft(F.floor(value * 2.0**32).cast("long"), SAMPLE_BITS) + low.bitwiseAND(F.lit((1 << SAMPLE_BITS) - 1))
+
 
-    return cells.select("cell", F.transform(drawn, key).alias("keys"))
+def first_parts(samples: int = SAMPLES) -> Column:
+    """For each sample of column __c: ln c, with c ~ Gamma(2, 1)."""
+    return F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda k: _packed(F.log(_gamma("__c", k, 0)), F.xxhash64("__c", F.lit(-1))))
+
+
+def second_parts(samples: int = SAMPLES) -> Column:
+    """For each sample of columns __r and __n: -(r (t - beta) + r), with r ~ Gamma(2, 1), beta ~ U(0, 1), t = floor(ln n / r + beta).
+
+    With a first part it is ln a: a document's sample is the (word, t) of its least a, and two documents
+    agree in a sample as often as the generalised Jaccard similarity of their word counts says.
+    """
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda k: F.struct(_gamma("__r", k, 2).alias("r"), _uniform("__r", k, 4).alias("beta")))
+    drawn = F.transform(drawn, lambda x: F.struct(x["r"].alias("r"), x["beta"].alias("beta"), F.floor(F.log(F.col("__n").cast("double")) / x["r"] + x["beta"]).alias("t")))
+    return F.transform(drawn, lambda x: _packed(128 - x["r"] * (x["t"] - x["beta"]) - x["r"], F.xxhash64("__r", x["t"])))
 
 
 def signatures(rows: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
     """keys, signature (array of samples) of each text; the keys must tell rows apart.
 
-    Texts without words (null ones too) have one term of their own. Where rows are already partitioned by some of the
-    keys, nothing is shuffled; otherwise the counts are combined before that.
+    The weight of a word is how often it stands in the text. Texts without words (null ones too) have one word of their own.
+    Where rows are already partitioned by some of the keys, nothing is shuffled; otherwise the counts are combined before that.
     """
+    spark = rows.sparkSession
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), SPACES, -1), lambda w: w != "")
     words = F.when(F.size(words) > 0, words).otherwise(F.array(F.lit("")))
-    terms = rows.select(*keys, F.explode(words).alias("__word")).select(*keys, F.pmod(F.xxhash64("__word"), F.lit(BUCKETS)).alias("__bucket"))
-    counts = terms.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
-    level = F.least(F.floor(F.log2("__n") + 1e-9), F.lit(LEVELS - 1))
-    cells = counts.select(*keys, (F.col("__bucket") * LEVELS + level).alias("cell"))
-    drawn = cells.join(F.broadcast(sample_table(rows.sparkSession, samples)), "cell")
-    least = drawn.groupBy(*keys).agg(*[F.min(F.col("keys")[k]).alias(f"__s{k}") for k in range(samples)])
+    terms = rows.select(*keys, F.explode(words).alias("__word")).select(*keys, F.xxhash64("__word").alias("__h"))
+    counts = terms.groupBy(*keys, "__h").agg(F.count("*").alias("__n"))
+    cells = counts.select(*keys, "__n", F.pmod("__h", F.lit(BUCKETS)).alias("__c"), F.pmod(F.shiftright("__h", 24), F.lit(BUCKETS)).alias("__r"))
+    first = spark.range(BUCKETS).select(F.col("id").alias("__c"), first_parts(samples).alias("__first"))
+    second = spark.range(BUCKETS * LEVELS).select(F.expr(f"id div {LEVELS}").alias("__r"), (F.col("id") % LEVELS + 1).alias("__n"))
+    second = second.select("__r", "__n", second_parts(samples).alias("__known"))
+    drawn = cells.join(F.broadcast(first), "__c").join(F.broadcast(second), ["__r", "__n"], "left")
+    drawn = drawn.select(*keys, "__first", F.coalesce("__known", second_parts(samples)).alias("__second"))
+    least = drawn.groupBy(*keys).agg(*[F.min(F.col("__first")[k] + F.col("__second")[k]).alias(f"__s{k}") for k in range(samples)])
     low = F.lit((1 << SAMPLE_BITS) - 1)
     return least.select(*keys, F.array(*[F.col(f"__s{k}").bitwiseAND(low).cast("int") for k in range(samples)]).alias("signature"))
 
