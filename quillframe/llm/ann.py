@@ -139,4 +139,5 @@ def search(rows: DataFrame, queries: str, k: int, vec_id: str = "vec_id", embedd
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of each query. What takes no part, repeats and ties: see search()."""
     return search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)

@@ -136,5 +136,6 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each text and its edited text, and their likenesses. Null texts are empty; repeated rows stay; an empty table gives none."""
     rows = edited_pairs(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("signature")).alias("fingerprint"), as_text(F.col("edited_signature")).alias("edited_fingerprint"), "near_edited", "near_next")

@@ -263,6 +263,7 @@ def split_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each whole text by models of the rows outside the held-out quarter. Null and letterless texts are und with score 0; repeated rows are rows of their own; an empty table gives none."""
     docs = table(spark, sf_dir, "documents")
     found = predicted(F.col("text"), split_model(docs), spark).alias("p")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)).alias("held_out")

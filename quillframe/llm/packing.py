@@ -280,6 +280,7 @@ def pack(
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each piece of the packed documents. Null texts are empty (the end id alone); null and repeated ids do no harm, as a row is a document; an empty table gives none."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

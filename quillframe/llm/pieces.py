@@ -245,6 +245,7 @@ def digests(text, path: str, n: int = BEST):
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, scores and checksums of the four best segmentations of each whole text, and the hash of the last one decoded. Null and empty texts have one, without ids; repeated rows stay; an empty table gives none."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents")

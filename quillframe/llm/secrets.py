@@ -227,6 +227,7 @@ def _joined(spans: Column) -> Column:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and further spans of secrets in each text. Null texts are empty; repeated rows stay; an empty table gives none."""
     rows = scanned(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "secret_spans")
     spans = F.col("secret_spans")
     count = lambda i: F.size(F.filter(spans, lambda s: s["order"] == i)).cast("long")

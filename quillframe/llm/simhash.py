@@ -111,5 +111,6 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and the components of links of two bits. Null and empty texts have fingerprint zero and link like others; repeated rows stay; an empty table gives none."""
     found = near_classes(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

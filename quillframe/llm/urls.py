@@ -131,4 +131,5 @@ def judged(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each url. Null urls have empty host and path; repeated rows stay; an empty table gives none."""
     return judged(table(spark, sf_dir, "pages"))
