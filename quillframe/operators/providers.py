@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
+from ..sources.remote import with_retries
+
 UNKNOWN = "Non classifié"
 
 
@@ -42,7 +44,7 @@ def hash_embedder(texts: list[str], size: int = 64) -> list[list[float]]:
 
 
 def asked(rows: DataFrame, prompt: str, model: LanguageModel, batch: int = 16) -> DataFrame:
-    """rows with answer and error: the model's text for each prompt, in batches of each partition; a failed batch has its error in each row."""
+    """rows with answer and error: the model's text for each prompt, in batches of each partition; busy and failing servers are asked again, a batch that keeps failing has its error in each row."""
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -50,7 +52,7 @@ def asked(rows: DataFrame, prompt: str, model: LanguageModel, batch: int = 16) -
             for at in range(0, len(pdf), batch):
                 some = pdf[prompt].iloc[at : at + batch].tolist()
                 try:
-                    answers += [(a, None) for a in model(some)]
+                    answers += [(a, None) for a in with_retries(lambda x=some: model(x))]
                 except Exception as e:  # goes to the rows it concerns
                     answers += [(None, f"{type(e).__name__}: {e}")] * len(some)
             yield pdf.assign(answer=[a for a, _ in answers], error=[e for _, e in answers])
@@ -59,26 +61,28 @@ def asked(rows: DataFrame, prompt: str, model: LanguageModel, batch: int = 16) -
 
 
 def embedded(rows: DataFrame, text: str, embedder: Embedder, size: int, batch: int = 16, retries: int = 3) -> DataFrame:
-    """rows with embedding: vectors of the right size, in order; zeros where the embedder keeps failing."""
+    """rows with embedding and embedding_error: vectors of the right size, in order; zeros, and why, where the embedder keeps failing."""
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list = []
+            errors: list = []
             for at in range(0, len(pdf), batch):
                 some = pdf[text].fillna("").iloc[at : at + batch].tolist()
-                found = None
+                found, error = None, None
                 for _ in range(retries):
                     try:
-                        found = embedder(some)
+                        found = with_retries(lambda x=some: embedder(x))
                         break
-                    except Exception:
-                        continue
+                    except Exception as e:  # goes to the rows it concerns
+                        error = f"{type(e).__name__}: {e}"
                 if found is None or len(found) != len(some):
-                    found = [[0.0] * size] * len(some)
+                    found, error = [[]] * len(some), error or "vectors are missing"
                 out += [v if len(v) == size else [0.0] * size for v in found]
-            yield pdf.assign(embedding=out)
+                errors += [None if len(v) == size else error or "the vector has another size" for v in found]
+            yield pdf.assign(embedding=out, embedding_error=errors)
 
-    return rows.mapInPandas(embed, StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType()))]))
+    return rows.mapInPandas(embed, StructType([*rows.schema.fields, StructField("embedding", ArrayType(FloatType())), StructField("embedding_error", StringType())]))
 
 
 def classification_prompt(text: Column, classes: list[str]) -> Column:

@@ -11,7 +11,11 @@ import urllib.request
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 ACTIVITY = "alerte string, num_ej string, date_reception string, pur_org string, pur_group string"
 
@@ -74,3 +78,75 @@ class ActivitySource(DataSource):
 
     def reader(self, schema) -> ActivityReader:
         return ActivityReader(self.options)
+
+
+METADATA = "num_ej string, id string, filename string, mime_type string, size long, created string"
+
+#: Bytes under which a failed download is tried again, and how often.
+SMALL, SMALL_RETRIES = 21 * 1024 * 1024, 2
+
+
+class Key(InputPartition):
+    def __init__(self, key: str):
+        super().__init__(key)
+        self.key = key
+
+
+class MetadataReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.url, self.folder, self.kind = options.get("url"), options.get("folder"), options.get("objecttype", "")
+        self.keys = [k for k in options["keys"].split(",") if k]
+
+    def partitions(self) -> list[Key]:
+        return [Key(k) for k in self.keys]
+
+    def read(self, partition: Key) -> Iterator[tuple]:
+        if self.folder:
+            page = Path(self.folder, f"{partition.key}.json")
+            rows = json.loads(page.read_text()) if page.exists() else []
+        else:
+            query = urllib.parse.urlencode({"$filter": f"num_ej eq '{partition.key}' and object_type eq '{self.kind}'", "$format": "json"})
+            rows = with_retries(lambda: json.load(urllib.request.urlopen(f"{self.url}?{query}", timeout=180)))["d"]["results"]
+        for r in rows:
+            if r.get("id"):  # a row without an id names no document
+                yield partition.key, *(r.get(c.split()[0]) for c in METADATA.split(", ")[1:])
+
+
+class MetadataSource(DataSource):
+    """read.format("document_metadata") with options keys (`a,b,..`), objectType, and url or folder: the documents of each key. A partition for each key."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "document_metadata"
+
+    def schema(self) -> str:
+        return METADATA
+
+    def reader(self, schema) -> MetadataReader:
+        return MetadataReader(self.options)
+
+
+def downloaded(docs: DataFrame, fetch, doc_id: str = "id", size: str = "size", delay: float = 20.0, sleep=time.sleep) -> DataFrame:
+    """docs with content and error: fetch(id) gives the bytes; small documents are tried again, large ones are not. A failure is that row's error."""
+
+    def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            contents, errors = [], []
+            for key, n in zip(pdf[doc_id], pdf[size]):
+                retries = SMALL_RETRIES if n == n and n is not None and n < SMALL else 0
+                try:
+                    contents.append(with_retries(lambda k=key: fetch(k), retries, delay, delay, sleep))
+                    errors.append(None)
+                except Exception as e:  # goes to the row it concerns
+                    contents.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pdf.assign(content=contents, error=errors)
+
+    return docs.mapInPandas(get, StructType([*docs.schema.fields, StructField("content", BinaryType()), StructField("error", StringType())]))
+
+
+def listing_slice(names: DataFrame, name: str, number: int, size: int) -> DataFrame:
+    """The names of one chunk (from 0) of so many, in their order."""
+    place = F.row_number().over(Window.orderBy(name)) - 1
+    first = names.orderBy(name).limit((number + 1) * size)  # no more than those up to the chunk's end are put in order
+    return first.select(name, place.alias("__at")).where(F.col("__at") >= number * size).select(name)
