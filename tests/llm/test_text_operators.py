@@ -165,11 +165,16 @@ def test_language_models_keep_all_grams(spark):
     labelled = spark.createDataFrame(rows, "text string, lang string")
     model = langid.train(labelled, labelled.limit(0))
     for k in range(1, langid.ORDER + 1):
-        mask = np.int64((1 << (langid.SYMBOL_BITS * k)) - 1)
+        bits = langid.SYMBOL_BITS * k
+        mask = np.int64((1 << bits) - 1 if bits < 64 else -1)
         want = np.unique(langid.encoded([t for t, _ in rows])[0] & mask)
         assert np.array_equal(np.sort(model.known[k].grams), want)
         assert np.all(model.known[k].find(want) >= 0) and np.all(model.contexts[k].find(want >> langid.SYMBOL_BITS) >= 0)
-    missing = np.setdiff1d(np.arange(97, 123, dtype=np.int64) << 36 | 0x41041041, want)
+    capitals = sum(ord("A") << (langid.SYMBOL_BITS * i) for i in range(langid.ORDER - 1))
+    missing = np.setdiff1d(np.arange(97, 123, dtype=np.int64) << (langid.SYMBOL_BITS * (langid.ORDER - 1)) | capitals, want)
+    wide = spark.createDataFrame([("語学を学ぶ人 龍", "ja"), ("语学 鼎", "zh")] * 20, "text string, lang string")
+    model_of_wide = langid.train(wide, wide.limit(0))
+    assert [model_of_wide.langs[int(np.argmin(h))] for h in model_of_wide.entropies(["語学 龍", "语学 鼎"])[0]] == ["ja", "zh"]
     assert np.all(model.known[langid.ORDER].find(missing) == -1)
 
 
