@@ -39,17 +39,22 @@ class Scratch:
 
     def __exit__(self, *_) -> None:
         for path in list(self.paths):
-            self._delete(path)
+            self.delete(path)
 
-    def _delete(self, path: str) -> None:
+    def folder(self, label: str) -> str:
+        """A new path in the shared folder, for files that are not a saved table; it is deleted as the block ends or by delete()."""
+        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
+        self.paths[path] = label
+        return path
+
+    def delete(self, path: str) -> None:
         fs, at = _files(self.spark, path)
         fs.delete(at, True)
         self.paths.pop(path, None)
 
     def saved(self, df: DataFrame, label: str) -> DataFrame:
         """df, written to the shared folder and read again: what follows no longer depends on its lineage."""
-        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        self.paths[path] = label
+        path = self.folder(label)
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.quill_path = path
@@ -65,7 +70,7 @@ class Scratch:
 
     def dropped(self, df: DataFrame) -> None:
         """Deletes a saved table that nothing needs any more."""
-        self._delete(df.quill_path)
+        self.delete(df.quill_path)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
