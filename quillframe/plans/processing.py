@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import count_words
 from ..operators import limits, workflow
-from .tables import STEPS_SQL, read, steps_from_events
+from ..operators import steps as chain
+from .documents import WORDS_SQL
+from .tables import STEPS_SQL, read, scratch_folder, steps_from_events
 
 
 def batch_progress_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +65,77 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
-QUERIES = {f.__name__: f for f in (batch_progress_steps, status_rollup, stuck_batches, cancel_and_retry, step_fan_out, next_step, rate_gate_delays, rate_limit_counts, activity_sessions)}
+TARGETS = ("devis", "rib")
+_CLASSES = ("devis", "kbis", "rib", "autre")
+
+
+def _classify(text: str) -> str:
+    if len(text) % 11 == 0:
+        raise ValueError(f"no class among the answers, {len(text)} characters")
+    return _CLASSES[len(text) % 4]
+
+
+def _analyze(text: str, kind: str) -> dict[str, str]:
+    if len(text) % 13 == 0:
+        raise RuntimeError("the answer is no JSON")
+    return {"start": text[:20], "kind": kind}
+
+
+def _step_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents through three steps: some kinds are unsupported, short texts empty, some answers fail, every 17th job is cancelled before."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text", "source")
+    size = F.length("text")
+    extract = chain.NativeStep(
+        "TEXT_EXTRACTION",
+        {"nb_mot": count_words(F.col("text")), "is_ocr": F.lit(False)},
+        skip=F.when(F.col("source").isin("src3", "src7"), F.concat(F.lit("Unsupported file type: "), "source")),
+        error=chain.any_of({"Failed to extract text - empty result": F.coalesce(size, F.lit(0)) < 200}),
+    )
+    jobs = chain.launched(docs, "b1", workflow.STEPS, status=F.when(F.col("document_id") % 17 == 0, "CANCELLED").otherwise("PENDING"))
+    return chain.run_steps(jobs, chain.document_steps(extract, _classify, _analyze, TARGETS), scratch_folder(spark, "steps"))
+
+
+def step_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Job, step statuses, error and results of each document after three steps. Null texts fail as empty; repeated rows are jobs of their own; an empty table gives none."""
+    rows = _step_table(spark, sf_dir)
+    at = lambda i, field: F.get("steps", F.lit(i))[field]
+    names = ("extraction", "classification", "analysis")
+    failed = F.filter("steps", lambda s: s["traceback"] != "")
+    return rows.select(
+        "document_id", "job_status", *[at(i, "status").alias(f"{n}_status") for i, n in enumerate(names)], *[F.array_join(F.filter(F.transform("steps", lambda s: s[n]), lambda e: e != ""), "|").alias(f"{n}s") for n in ("error", "reason")],
+        F.size(failed).alias("n_tracebacks"), "nb_mot", F.col("classification").alias("class"), F.col("structured_data")["start"].alias("start"),
+    )
+
+
+def step_run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run as the batch's monitor shows it: status of the batch, and of each step type the progress, skipped and failed steps."""
+    rows = _step_table(spark, sf_dir)
+    kinds = spark.createDataFrame([(s,) for s in workflow.STEPS], "step_type string")
+    batch = workflow.batch_status(chain.job_rows(rows)).select("batch_id", F.col("status").alias("batch_status"), F.col("total").alias("jobs"))
+    steps = chain.step_rows(rows).groupBy("batch_id", "step_type").agg(F.count_if(~F.col("status").isin(*workflow.OPEN)).alias("progress"), F.count_if(F.col("status") == "SKIPPED").alias("skipped"), F.count_if(F.col("status") == "FAILURE").alias("errors"), F.count("*").alias("total"))
+    return batch.join(steps, "batch_id").join(F.broadcast(kinds), "step_type")
+
+
+QUERIES = {f.__name__: f for f in (batch_progress_steps, status_rollup, stuck_batches, cancel_and_retry, step_fan_out, next_step, rate_gate_delays, rate_limit_counts, activity_sessions, step_run, step_run_rollup)}
 
 _JOBS = """, jobs AS (SELECT batch_id, job_id, CASE WHEN bool_or(status IN ('PENDING', 'STARTED')) THEN 'STARTED' WHEN bool_or(status = 'FAILURE') THEN 'FAILURE'
   WHEN bool_or(status = 'CANCELLED') THEN 'CANCELLED' WHEN bool_or(status = 'SKIPPED') THEN 'SKIPPED' ELSE 'SUCCESS' END AS status FROM steps GROUP BY ALL),
   batches AS (SELECT batch_id, CASE WHEN bool_or(status IN ('PENDING', 'STARTED')) THEN 'STARTED' WHEN bool_or(status = 'FAILURE') THEN 'FAILURE' ELSE 'SUCCESS' END AS status, count(*) AS total FROM jobs GROUP BY batch_id)"""
 
+_RUN = f"""WITH d AS (SELECT doc_id, text, source, coalesce(length(text), 0) AS n, doc_id % 17 = 0 AS stopped FROM documents),
+  a AS (SELECT *, CASE WHEN stopped THEN 'PENDING' WHEN source IN ('src3', 'src7') THEN 'SKIPPED' WHEN n < 200 THEN 'FAILURE' ELSE 'SUCCESS' END AS s1 FROM d),
+  b AS (SELECT *, CASE WHEN stopped THEN 'PENDING' WHEN s1 <> 'SUCCESS' THEN 'SKIPPED' WHEN n % 11 = 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS s2, ['devis', 'kbis', 'rib', 'autre'][n % 4 + 1] AS kind FROM a),
+  c AS (SELECT *, CASE WHEN stopped THEN 'PENDING' WHEN s2 <> 'SUCCESS' OR kind NOT IN ('devis', 'rib') THEN 'SKIPPED' WHEN n % 13 = 0 THEN 'FAILURE' ELSE 'SUCCESS' END AS s3 FROM b),
+  r AS (SELECT *, CASE WHEN stopped THEN 'CANCELLED' WHEN 'FAILURE' IN (s1, s2, s3) THEN 'FAILURE' WHEN 'SKIPPED' IN (s1, s2, s3) THEN 'SKIPPED' ELSE 'SUCCESS' END AS job_status FROM c)"""
+
 ORACLE_SQL = {
+    "step_run": f"""{_RUN} SELECT doc_id AS document_id, job_status, s1 AS extraction_status, s2 AS classification_status, s3 AS analysis_status,
+  CASE WHEN s1 = 'FAILURE' THEN 'Failed to extract text - empty result' WHEN s2 = 'FAILURE' THEN 'no class among the answers, ' || n || ' characters' WHEN s3 = 'FAILURE' THEN 'the answer is no JSON' ELSE '' END AS errors,
+  CASE WHEN s1 = 'SKIPPED' THEN 'Unsupported file type: ' || source WHEN s2 = 'SUCCESS' AND s3 = 'SKIPPED' THEN 'Not in target classifications: ' || kind || '.' ELSE '' END AS reasons,
+  ((s2 = 'FAILURE')::INT + (s3 = 'FAILURE')::INT) AS n_tracebacks, CASE WHEN s1 = 'SUCCESS' THEN {WORDS_SQL} END AS nb_mot, CASE WHEN s2 = 'SUCCESS' THEN kind END AS class, CASE WHEN s3 = 'SUCCESS' THEN left(text, 20) END AS start FROM r""",
+    "step_run_rollup": f"""{_RUN}, s AS (SELECT 'TEXT_EXTRACTION' AS step_type, s1 AS status FROM r UNION ALL SELECT 'CLASSIFICATION', s2 FROM r UNION ALL SELECT 'CONTENT_ANALYSIS', s3 FROM r)
+  SELECT 'b1' AS batch_id, (SELECT CASE WHEN count(*) FILTER (job_status = 'FAILURE') > 0 THEN 'FAILURE' ELSE 'SUCCESS' END FROM r) AS batch_status, (SELECT count(*) FROM r) AS jobs, step_type,
+  count(*) FILTER (status <> 'PENDING') AS progress, count(*) FILTER (status = 'SKIPPED') AS skipped, count(*) FILTER (status = 'FAILURE') AS errors, count(*) AS total FROM s GROUP BY step_type""",
     "batch_progress_steps": f"""{STEPS_SQL} SELECT k AS step_type, count(*) FILTER (status NOT IN ('PENDING', 'STARTED')) AS progress, count(*) FILTER (status = 'SKIPPED') AS skipped, count(*) FILTER (status = 'FAILURE') AS errors, count(status) AS total
   FROM (SELECT unnest(['TEXT_EXTRACTION', 'CLASSIFICATION', 'CONTENT_ANALYSIS', 'OTHER']) AS k) LEFT JOIN steps ON step_type = k GROUP BY k""",
     "status_rollup": f"{STEPS_SQL}{_JOBS} SELECT * FROM batches",
