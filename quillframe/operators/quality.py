@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from ..functions.compare import Rule, exact
+from ..functions.compare import Rule, both, exact
+from ..functions.structured import at_path
+from ..sources.remote import with_retries
+from .providers import LanguageModel
 
 
 def compared(found: DataFrame, truth: DataFrame, key: str, names: list[str], rules: dict[str, Rule] | None = None) -> DataFrame:
@@ -16,6 +23,66 @@ def compared(found: DataFrame, truth: DataFrame, key: str, names: list[str], rul
     return rows.select(key, F.explode(F.array(*items)).alias("f")).select(key, "f.*")
 
 
+def field_value(data: Column, name: str) -> Column:
+    """A field of a map of texts; of a path with `*` the JSON list of what the items of the map's JSON list have there."""
+    head, star, tail = name.partition(".*.")
+    if not star:
+        return F.try_element_at(data, F.lit(name))
+    items = at_path(F.try_parse_json(F.try_element_at(data, F.lit(head))), f"*.{tail}", "variant")
+    return F.to_json(items, {"ignoreNullFields": "false"})
+
+
+def compared_by_class(found: DataFrame, truth: DataFrame, key: str, kind: str, data: str, rules: dict[str, dict[str, Rule]]) -> DataFrame:
+    """key, kind, position, field, match: a row for each field of the class of each key that both sides have; the class is the truth's.
+
+    data: map of texts (nested values as JSON). Classes without rules and null classes have no rows; null maps are empty.
+    """
+    rows = found.select(key, F.col(data).alias("__a")).join(truth.select(key, kind, F.col(data).alias("__b")), key)
+    parts = []
+    for name, fields in rules.items():
+        mine = rows.where(F.col(kind) == name)
+        items = [F.struct(F.lit(i).alias("position"), F.lit(n).alias("field"), F.coalesce(rule(field_value(F.col("__a"), n), field_value(F.col("__b"), n)), F.lit(False)).alias("match")) for i, (n, rule) in enumerate(fields.items())]
+        parts.append(mine.select(key, kind, F.explode(F.array(*items)).alias("f")).select(key, kind, "f.*"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+#: What a judge is told to weigh, by subject.
+_SUBJECTS = {
+    "object": "deux objets de marché ; les synonymes, les formulations voisines et l'essentiel du contenu comptent, pas la forme",
+    "administration": "deux administrations bénéficiaires ; les synonymes, les sigles connus, les services d'une même administration et leur territoire comptent",
+}
+
+
+def judge(model: LanguageModel, subject: str, batch: int = 16) -> Rule:
+    """A rule that asks a model whether two texts mean the same. Two empty ones do, one empty one does not, and neither is sent; an answer that is no JSON, or none after retries, is a difference."""
+
+    @F.pandas_udf(BooleanType())
+    def answers(prompts: pd.Series) -> pd.Series:
+        out, send = pd.Series([False] * len(prompts), index=prompts.index), prompts.dropna()
+        for at in range(0, len(send), batch):
+            some = send.iloc[at : at + batch]
+            try:
+                got = with_retries(lambda x=some.tolist(): model(x))
+            except Exception:  # no answer is a difference
+                continue
+            for i, text in zip(some.index, got or ()):
+                try:
+                    out[i] = json.loads(text).get("sont_equivalentes") is True
+                except (TypeError, ValueError, AttributeError):
+                    pass
+        return out
+
+    def rule(a: Column, b: Column) -> Column:
+        prompt = F.concat(F.lit(f"Compare {_SUBJECTS[subject]}.\nValeur extraite : "), a, F.lit("\nValeur de référence : "), b, F.lit('\nRéponds par un seul objet JSON : {"sont_equivalentes": true ou false, "explication": "..."}'))
+        some = (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != "")
+        return answers(F.when(some, prompt))
+
+    return both(rule, lambda x: F.coalesce(x, F.lit("")) == "")
+
+
 def field_accuracy(matches: DataFrame) -> DataFrame:
     """field, total, matches, errors, accuracy."""
     n = F.count_if("match")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import address, dates, ids, money, structured, text
+from ..functions import compare
 from ..functions.compare import contained, exact, same_multiset
 from ..operators import quality
 from .tables import read
@@ -146,8 +147,94 @@ def multiset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", same_multiset(F.col("a"), F.concat("b", "b")).alias("same"), contained(F.col("a"), F.col("b")).alias("inside"))
 
 
-QUERIES = {f.__name__: f for f in (amount_parse, percentage_parse, siret_parse, bic_parse, iban_mod97, iban_correct, normalize_name_city, postal_address_clean, lots_full_merge, json_props_path, api_date_parse, activity_kinds, field_accuracy, global_accuracy, errors_per_file, accuracy_against_best, confusion_matrix, class_recall, multiset_match)}
+def contractor_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contractors of an order's lines, found in another order, case and accents, some missing or with another siret: matched one to one, and contained."""
+    lines = read(spark, sf_dir, "lineitem")
+    siret = F.lpad(F.col("l_suppkey").cast("string"), 14, "0")
+    truth = F.struct(F.concat(F.lit("Société Générale d'Été "), F.col("l_suppkey").cast("string")).alias("nom"), siret.alias("siret"))
+    wrong = (F.col("l_partkey") % 11 == 0) & (F.col("l_linenumber") == 2)
+    found = F.struct(F.concat(F.lit("SOCIETE GENERALE D ETE-"), F.col("l_suppkey").cast("string")).alias("nom"), F.when(wrong, F.lit("0")).otherwise(siret).alias("siret"))
+    kept = (F.col("l_partkey") % 7 != 0) | (F.col("l_linenumber") != 1)
+    rows = lines.groupBy("l_orderkey").agg(F.to_json(F.array_sort(F.collect_list(truth))).alias("truth"), F.to_json(F.reverse(F.array_sort(F.collect_list(F.when(kept, found))))).alias("found"))
+    return rows.select("l_orderkey", compare.co_contractors(F.col("found"), F.col("truth")).alias("matched"), compare.sub_contractors(F.col("found"), F.col("truth")).alias("contained"))
+
+
+def tolerant_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities of an order's lines against those of its lines one on: pairs within 10 that are taken in order, so that an early choice can spoil a later one."""
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: x["l_quantity"]).alias("b"))
+    near = compare.matched(lambda x, y: F.abs(x - y) <= 10)
+    turned = F.concat(F.slice("b", 2, F.size("b")), F.slice("b", 1, 1))
+    return rows.select("l_orderkey", near(F.transform(turned, lambda x: x + 6), F.col("b")).alias("matched"))
 
+
+def lots_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lots made of an order's lines against lots with a changed title, form, duration or amount, by the rules of their class."""
+    lines = read(spark, sf_dir, "lineitem")
+    n, key = F.col("l_linenumber"), F.col("l_partkey")
+
+    def lot(changed: bool) -> F.Column:
+        other = lambda c, x, y: F.when(c, y).otherwise(x) if changed else x
+        title = other(F.lit(True), F.concat(F.lit("Lot n° "), n.cast("string"), F.lit(" - Été")), F.concat(F.lit("LOT N "), n.cast("string"), other(key % 5 == 0, F.lit("  ETE"), F.lit(" HIVER"))))
+        form = F.struct(F.lit("simple").alias("structure"), other(key % 6 == 0, F.lit(None).cast("string"), F.lit("deux")).alias("tranches"), F.lit("forfaitaire").alias("forme_prix"), F.lit("1").alias("attributaires"))
+        amount = F.struct(n.cast("string").alias("numero_lot"), other(key % 8 == 0, F.lit("10.00"), F.lit("11.00")).alias("montant_ht_maximum"), F.lit("max").alias("type_montant"))
+        return F.struct(n.alias("n"), key.alias("k"), F.struct(title.alias("titre"), form.alias("forme"), other(key % 7 == 0, F.lit("12 mois"), F.lit("6 mois")).alias("duree_lot"), amount.alias("montant_ht")).alias("lot"))
+
+    side = lambda changed: F.create_map(F.lit("lots"), F.to_json(F.transform(F.array_sort(F.collect_list(lot(changed)), lambda x, y: F.when((x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["k"] < y["k"])), -1).when((x["n"] == y["n"]) & (x["k"] == y["k"]), 0).otherwise(1)), lambda x: x["lot"]), {"ignoreNullFields": "false"}))
+    rows = lines.groupBy("l_orderkey").agg(side(False).alias("a"), side(True).alias("b"))
+    rules = {k: v for k, v in compare.REGISTRY["ccap"].items() if k.startswith("lots.")}
+    value = quality.field_value
+    return rows.select("l_orderkey", *[rule(value(F.col("a"), k), value(F.col("b"), k)).alias(k.rpartition(".")[2]) for k, rule in rules.items()])
+
+
+#: Truth, an equal value in another form, and another value, of the fields that are not plain texts.
+_NESTED = {
+    **dict.fromkeys(("adresse_postale_titulaire", "adresse_postale_sous_traitant"), ('{"numero_voie": "1", "nom_voie": "rue de l\'Été", "ville": "Paris"}', '{"numero_voie": "1", "nom_voie": "Rue de l ete", "ville": "PARIS"}', '{"numero_voie": "2", "nom_voie": "rue de l\'Été", "ville": "Paris"}')),
+    **dict.fromkeys(("duree", "duree_marche", "duree_sous_traitance"), ('{"duree_initiale": 12, "nb_reconductions": 1}', '{"nb_reconductions": 1, "duree_initiale": 12}', '{"duree_initiale": 13, "nb_reconductions": 1}')),
+    **dict.fromkeys(("rib_mandataire", "rib_sous_traitant"), ('{"banque": "B", "iban": "FR76 1"}', '{"banque": "C", "iban": "fr761"}', '{"banque": "B", "iban": "FR762"}')),
+    "cotraitants": ('[{"nom": "É", "siret": "1"}, {"nom": "b", "siret": "2"}]', '[{"nom": "B", "siret": "2"}, {"nom": "e", "siret": "1"}]', '[{"nom": "B", "siret": "2"}, {"nom": "b", "siret": "2"}]'),
+    "sous_traitants": ('[{"nom": "É", "siret": "1"}, {"nom": "b", "siret": "2"}]', '[{"nom": "e", "siret": "1"}]', '[{"nom": "c", "siret": "1"}]'),
+    "rib_autres": ('[{"societe": "s", "rib": {"iban": "A1"}}, {"societe": "t", "rib": {"iban": "A2"}}]', '[{"societe": "t", "rib": {"iban": "a 2"}}, {"societe": "s", "rib": {"iban": "A1"}}]', '[{"societe": "t", "rib": {"iban": "A2"}}, {"societe": "s", "rib": {"iban": "A2"}}]'),
+    "montants_en_annexe": ('{"annexe_financière": true, "classification": ["a", "b"]}', '{"annexe_financière": true, "classification": ["b", "a"]}', '{"annexe_financière": true, "classification": ["b"]}'),
+}
+_FORMS = {"acte_engagement": ('{"lot_concerne": {"numero_lot": 1}}', '{"lot_concerne": {"numero_lot": 1}}', '{"lot_concerne": {"numero_lot": 2}}'), "ccap": ('{"structure": "s"}', '{"structure": "s"}', '{"structure": "t"}')}
+#: Of two lots, what each has: truth and another value.
+_LOTS = {"titre": (('"t"', '"u"'), ('"t"', '"v"')), "forme": (('{"structure": "s"}', "null"), ("null", "null")), "duree_lot": (('"1"', '{"duree_initiale": 1}'), ('{"duree_initiale": 1}', '"1"')), "montant_ht": (('{"numero_lot": 1}', '{"numero_lot": 2}'), ('{"numero_lot": 1}', '{"numero_lot": 3}'))}
+
+
+def _found_and_truth(kind: str) -> tuple[F.Column, F.Column]:
+    """Maps of a class's fields: of the field at place i, another value where the order's key and i make a multiple of 7, none where one of 9."""
+    found, truth, lots = [], [], []
+    pick = lambda i, same, other, none: F.when((F.col("o_orderkey") + i) % 7 == 0, F.lit(other)).when((F.col("o_orderkey") + i) % 9 == 0, F.lit(none)).otherwise(F.lit(same))
+    for i, (name, rule) in enumerate(compare.REGISTRY[kind].items()):
+        if name.startswith("lots.*."):
+            lots.append((name[7:], i))
+            continue
+        true, same, other = _FORMS[kind] if name == "forme_marche" else _NESTED.get(name, ("Valeur 1", "Valeur 1" if rule is compare.exact else "VALEUR-1", "autre"))
+        truth += [F.lit(name), F.lit(true)]
+        found += [F.lit(name), pick(i, same, other, None)]
+    if lots:
+        one = lambda at, value: F.concat(F.lit("{"), F.concat_ws(", ", *[F.concat(F.lit(f'"{n}": '), value(n, i, at)) for n, i in lots]), F.lit("}"))
+        both = lambda value: F.concat(F.lit("["), one(0, value), F.lit(", "), one(1, value), F.lit("]"))
+        truth += [F.lit("lots"), both(lambda n, i, at: F.lit(_LOTS[n][0][at]))]
+        found += [F.lit("lots"), both(lambda n, i, at: pick(i, _LOTS[n][0][at], _LOTS[n][1][at], "null"))]
+    return F.create_map(*found), F.create_map(*truth)
+
+
+def registry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy by class and field over all six classes: orders stand for documents, whose every field is found in another form of the same value, as another one, or not at all."""
+    kinds = list(compare.REGISTRY)
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("o_orderkey") % len(kinds) + 1).cast("int"))
+    maps = {k: _found_and_truth(k) for k in kinds}
+    side = lambda i: F.coalesce(*[F.when(F.col("kind") == k, m[i]) for k, m in maps.items()])
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind")).select("o_orderkey", "kind", side(0).alias("found"), side(1).alias("truth"))
+    rows = quality.compared_by_class(orders.select("o_orderkey", F.col("found").alias("data")), orders.select("o_orderkey", "kind", F.col("truth").alias("data")), "o_orderkey", "kind", "data", compare.REGISTRY)
+    n = F.count_if("match")
+    return rows.groupBy("kind", "field").agg(F.count("*").alias("total"), n.alias("matches"))
+
+
+QUERIES = {f.__name__: f for f in (amount_parse, percentage_parse, siret_parse, bic_parse, iban_mod97, iban_correct, normalize_name_city, postal_address_clean, lots_full_merge, json_props_path, api_date_parse, activity_kinds, field_accuracy, global_accuracy, errors_per_file, accuracy_against_best, confusion_matrix, class_recall, multiset_match, contractor_matching, tolerant_matching, lots_compare, registry_match)}
+
+_REGISTRY = ", ".join(f"({k}, '{kind}', {i}, '{name}')" for k, (kind, fields) in enumerate(compare.REGISTRY.items()) for i, name in enumerate(fields))
 _MATCHES = """WITH m AS (SELECT doc_id, 0 AS position, 'quality' AS field, doc_id % 9 <> 0 AS match, (doc_id + 1) % 9 <> 0 AS best FROM labels
   UNION ALL SELECT doc_id, 1, 'toxic', doc_id % 13 <> 0, (doc_id + 1) % 13 <> 0 FROM labels)"""
 _PREDICTED = "WITH p AS (SELECT quality, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END AS predicted FROM labels)"
@@ -184,4 +271,15 @@ ORACLE_SQL = {
     "class_recall": f"{_PREDICTED} SELECT quality, count(*) AS total, count(*) FILTER (quality = predicted) AS correct, round(count(*) FILTER (quality = predicted) / count(*), 6) AS recall FROM p GROUP BY quality",
     "multiset_match": """WITH o AS (SELECT l_orderkey, list_sort(list(l_returnflag)) AS a, coalesce(list(l_returnflag) FILTER (l_linenumber % 2 = 0), []) AS b FROM lineitem GROUP BY l_orderkey)
   SELECT l_orderkey, a = list_sort(list_concat(b, b)) AS same, list_has_all(b, a) AS inside FROM o""",
+    "contractor_matching": """WITH l AS (SELECT l_orderkey, l_suppkey AS s, l_partkey % 11 = 0 AND l_linenumber = 2 AS wrong, l_partkey % 7 <> 0 OR l_linenumber <> 1 AS kept FROM lineitem),
+  t AS (SELECT l_orderkey, list_sort(list(s || '/' || s)) AS truth, list_sort(coalesce(list(s || '/' || CASE WHEN wrong THEN 'x' ELSE s::VARCHAR END) FILTER (kept), [])) AS found FROM l GROUP BY l_orderkey)
+  SELECT l_orderkey, found = truth AS matched, len(found) > 0 AND list_has_all(truth, found) AS contained FROM t""",
+    "tolerant_matching": """WITH l AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS b FROM lineitem GROUP BY l_orderkey),
+  p AS (SELECT l_orderkey, b, list_transform(list_concat(b[2:], b[1:1]), lambda x: x + 6) AS a FROM l),
+  f AS (SELECT l_orderkey, len(b) AS n, list_reduce(b, lambda acc, y: list_concat(acc, coalesce(list_filter(range(1, len(a) + 1), lambda i: NOT list_contains(acc, i) AND abs(a[i] - y) <= 10)[1:1], [])), []::BIGINT[]) AS used FROM p)
+  SELECT l_orderkey, len(used) = n AS matched FROM f""",
+    "lots_compare": """WITH n AS (SELECT l_orderkey, bool_and(l_partkey % 5 <> 0) AS titre, bool_and(l_partkey % 6 <> 0) AS forme, bool_and(l_partkey % 7 <> 0) AS duree_lot, bool_or(l_partkey % 8 <> 0) AS amount FROM lineitem GROUP BY l_orderkey, l_linenumber)
+  SELECT l_orderkey, bool_and(titre) AS titre, bool_and(forme) AS forme, bool_and(duree_lot) AS duree_lot, bool_and(amount) AS montant_ht FROM n GROUP BY l_orderkey""",
+    "registry_match": f"""WITH r(k, kind, i, field) AS (VALUES {_REGISTRY}) SELECT kind, field, count(*) AS total, count(*) FILTER ((o_orderkey + i) % 7 <> 0 AND (o_orderkey + i) % 9 <> 0) AS matches
+  FROM orders JOIN r ON o_orderkey % {len(compare.REGISTRY)} = k GROUP BY kind, field""",
 }
