@@ -88,6 +88,7 @@ def search(rows: DataFrame, queries: str, k: int, vec_id: str = "vec_id", embedd
     footrule distance through its pivots' posting lists, its best quarter is reranked on the original vectors. Copies of a
     vector are indexed once with their least ids. Vectors of different dimensions don't meet. Rows without a vec_id or a proper
     vector take no part; repeated rows count once; an id with two vectors is two rows; an empty table gives none.
+    Ids are whole numbers; a text that is none ends the job.
     """
     if not PREFIX < 256:
         raise ValueError("the prefix must be shorter than 256")

@@ -59,7 +59,8 @@ def _moved(points: DataFrame, centroids: np.ndarray) -> np.ndarray:
             for i in np.unique(number):
                 total[i] += own[number == i].sum(axis=0)
         seen = np.flatnonzero(count)
-        yield pd.DataFrame({"cluster": seen, "n": count[seen], "total": list(total[seen])})
+        if len(seen):
+            yield pd.DataFrame({"cluster": seen, "n": count[seen], "total": list(total[seen])})
 
     parts = points.select("point").mapInPandas(summed, "cluster int, n long, total array<long>")
     exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).alias(c)

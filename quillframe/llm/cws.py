@@ -111,6 +111,7 @@ def edited_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
 
     The edited text has the last floor(n_chars / 4) code points replaced by as many first ones (or all) of the next
     document's. A null text is empty; a lone document is its own next one; repeated rows stay; an empty table gives none.
+    Ids are whole numbers; a text that is none ends the job.
     """
     rows = neighbours(docs, doc_id, text)
     n = F.length("text")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
-from .shared import Scratch, maybe_broadcast, table
+from .shared import fresh, maybe_broadcast, Scratch, table
 
 #: Lines that differ in up to EDITS code points are repeats. Lines of fewer than MIN_CHARS are at most exact repeats.
 EDITS, MIN_CHARS = 2, 20
@@ -233,14 +233,18 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS, shortest: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that repeated_lines() names; all columns. Rows that lose every line have an empty text."""
-    gone = repeated_lines(docs, doc_id, text, edits, shortest).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("dropped")["line_no"].alias("__gone"))
-    rows = docs.join(gone, (F.xxhash64(text) == F.col("__key")) & _id(docs, doc_id).eqNullSafe(F.col("__doc")), "left")
-    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col("__gone"), i))
-    return rows.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    doc, key, lost = fresh(docs.columns, "doc", "key", "gone")
+    gone = repeated_lines(docs, doc_id, text, edits, shortest).select(F.col("doc_id").alias(doc), F.col("text_key").alias(key), F.col("dropped")["line_no"].alias(lost))
+    rows = docs.join(gone, (F.xxhash64(text) == F.col(key)) & _id(docs, doc_id).eqNullSafe(F.col(doc)), "left")
+    kept = F.filter(F.split(F.col(text), "\n", -1), lambda line, i: ~F.array_contains(F.col(lost), i))
+    return rows.withColumn(text, F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each document its lines, those dropped as exact and as near repeats, which, and the documents of their first occurrences."""
+    """For each document its lines, those dropped as exact and as near repeats, which, and the documents of their first occurrences.
+
+    Null texts have one empty line and lose none; rows that repeat id and text are one document and show the same; an empty table gives none.
+    """
     docs = table(spark, sf_dir, "documents")
     gone = Scratch(spark).kept(repeated_lines(docs, shortest=1), "dropped").withColumnRenamed("doc_id", "gone_id")
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1)

@@ -9,7 +9,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import maybe_broadcast, saved, table
+from .shared import fresh, maybe_broadcast, saved, table
 
 
 @dataclass(frozen=True)
@@ -183,43 +183,45 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.regex), walk).otherwise(none)
 
 
-def scanned(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """docs with a column secret_spans: array of struct(start, order, end, kind), by start, then rule.
+def scanned(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = BASE + MORE, into: str = "secret_spans") -> DataFrame:
+    """docs with a column `into`: array of struct(start, order, end, kind), by start, then rule.
 
     Rules with mandatory trigrams are verified only on the texts whose postings meet their query; others scan every text.
-    Null texts have no spans. All rows and columns stay.
+    Null texts have no spans. All rows and columns stay, but for an old column of the name `into`; an empty table gives none.
     """
     if len(rules) > 31:
         raise ValueError("at most 31 rules")
     queries = [trigram_query(r.regex) for r in rules]
     trigrams = sorted(set().union(*map(trigrams_in, queries)))
     found = saved(candidates(postings(docs, text, trigrams), queries, trigrams), "candidates")
-    found = found.select(F.col("key").alias("__key"), F.col("rules").alias("__rules"))
-    rows = docs.withColumn("__text_key", F.xxhash64(F.col(text)))
-    rows = rows.join(maybe_broadcast(found, found.count(), BROADCAST_ROWS), F.col("__text_key") == F.col("__key"), "left")
+    key, met, text_key = fresh(docs.columns, "key", "rules", "text_key")
+    found = found.select(F.col("key").alias(key), F.col("rules").alias(met))
+    rows = docs.withColumn(text_key, F.xxhash64(F.col(text)))
+    rows = rows.join(maybe_broadcast(found, found.count(), BROADCAST_ROWS), F.col(text_key) == F.col(key), "left")
     none = F.expr("cast(array() as array<struct<start:int,order:int,end:int,kind:string>>)")
     parts = []
     for i, (rule, query) in enumerate(zip(rules, queries)):
         spans = spans_of(F.col(text), rule, i)
-        parts.append(spans if query is True else F.when(F.coalesce(F.col("__rules"), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, spans).otherwise(none))
+        parts.append(spans if query is True else F.when(F.coalesce(F.col(met), F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0, spans).otherwise(none))
     spans = F.when(F.col(text).isNull(), none).otherwise(F.array_sort(F.concat(*parts)))
-    return rows.select(*docs.columns, spans.alias("secret_spans"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != into.lower()], spans.alias(into))
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with each secret in the text, overlapping ones as one, replaced by the mark. All rows and columns stay."""
     body = F.col(text)
     cut = lambda a, n: F.substring(body, a + F.lit(1), n)
+    (spans,) = fresh(docs.columns, "secret_spans")
     walk = F.aggregate(
-        "secret_spans",
+        spans,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], cut(acc["at"], s["start"] - acc["at"]), F.lit(mark)).alias("out"))).otherwise(
             F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
         ),
         lambda acc: F.concat(acc["out"], cut(acc["at"], F.length(body))),
     )
-    rows = scanned(docs, text)
-    return rows.withColumn(text, F.when(F.size("secret_spans") > 0, walk).otherwise(body)).drop("secret_spans")
+    rows = scanned(docs, text, into=spans)
+    return rows.withColumn(text, F.when(F.size(spans) > 0, walk).otherwise(body)).drop(spans)
 
 
 def _joined(spans: Column) -> Column:

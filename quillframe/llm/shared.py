@@ -87,6 +87,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *labels: str) -> list[str]:
+    """The labels as column names that none of the columns has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in labels:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def maybe_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
     """A broadcast hint only where the counted rows are within the bound; a shuffled join otherwise."""
     return F.broadcast(df) if rows <= most else df

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from quillframe.llm import ann, pieces, urls
 from quillframe.llm.graph import components
+from quillframe.llm.shared import Scratch
 
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (200, 201)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark)).collect()}
     assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark)).count() == 0
 
 
 def test_n_best_against_all_segmentations(spark):

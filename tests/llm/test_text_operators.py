@@ -154,11 +154,60 @@ def test_language_models(spark):
     assert all(got[d].lang_pred == "und" and got[d].rejected for d in (1000, 1001, 1002))
     assert got[1003].lang_pred == "en" and got[None].lang_pred == "de"
     assert all(0 <= r.score <= 1 for r in got.values())
-    p = 2.0 ** model.log_probabilities(np.arange(1 << langid.SYMBOL_BITS, dtype=np.int64) | (ord("t") << 24) | (ord("h") << 12)).astype(float)
-    assert np.all(p.sum(0) < 1.05)  # a distribution over the next symbol, but for the floor of unseen ones
     assert langid.split_model(docs.limit(0)) is None
 
 
+def test_language_models_against_plain_kneser_ney(spark):
+    """The definition with dictionaries: raw counts at the top, kinds of what stands before below, one discount a language and order."""
+    r = random.Random(8)
+    texts = {lang: ["".join(r.choices(letters, k=r.randint(1, 60))) for _ in range(25)] for lang, letters in (("en", "abc de "), ("fr", "cdé f"))}
+    labelled = spark.createDataFrame([(t, lang) for lang, ts in texts.items() for t in ts], "text string, lang string")
+    model = langid.train(labelled, labelled.limit(0))
+
+    def padded(t):
+        return " " * (langid.ORDER - 1) + re.sub("[^a-zé]+", " ", t).lstrip(" ")
+
+    def tables(lang):
+        top = Counter(x[i : i + langid.ORDER] for t in texts[lang] if re.search("[a-zé]", t) for x in [padded(t)] for i in range(len(x) - langid.ORDER + 1))
+        out = {langid.ORDER: top}
+        for k in range(langid.ORDER - 1, 0, -1):
+            out[k] = Counter(g[1:] for g in out[k + 1])
+        return out
+
+    def probability(counts, gram):
+        if not gram:
+            return 2.0**-langid.SYMBOL_BITS
+        mine = counts[len(gram)]
+        one, two = (sum(n == c for n in mine.values()) for c in (1, 2))
+        discount = min(max(one / max(one + 2 * two, 1), 0.05), 0.95)
+        after = [n for g, n in mine.items() if g[:-1] == gram[:-1]]
+        lower = probability(counts, gram[1:])
+        return max(mine[gram] - discount, 0) / sum(after) + discount * len(after) / sum(after) * lower if after else lower
+
+    for k, lang in enumerate(model.langs):
+        counts = tables(lang)
+        grams = ["".join(r.choices("abcdeé f", k=langid.ORDER)) for _ in range(300)] + list(counts[langid.ORDER])
+        packed = np.array([sum(ord(c) << (langid.SYMBOL_BITS * (langid.ORDER - 1 - i)) for i, c in enumerate(g)) for g in grams], np.int64)
+        got = 2.0 ** model.log_probabilities(packed)[:, k].astype(float)
+        assert np.allclose(got, [probability(counts, g) for g in grams], rtol=1e-4, atol=1e-9)
+
+
+def test_clashing_columns_stay(spark):
+    odd = ["key", "rules", "text_key", "secret_spans", "__key", "__rules", "__text_key", "doc", "gone", "tid", "stays", "row", "__doc"]
+    secret = "password = " + "x" * 20
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, f"{secret}\n{words}", {"a": "b"}), (2, words, {"c": "d"}), (2, words, {"b": "d"}), (3, None, None)], "doc_id long, text string, tags map<string,string>")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")) for c in odd})
+    for out in (secrets.redacted(docs), lines.deduplicated(docs, shortest=1), neardup.one_of_each(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        assert all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in odd)
+    assert {r.text for r in secrets.redacted(docs).where("doc_id = 1").collect()} == {f"[SECRET]\n{words}"}
+    assert sorted((r.doc_id, r.tags) for r in neardup.one_of_each(docs).where("doc_id > 1").collect()) in ([(2, {"b": "d"}), (3, None)], [(3, None)])
+    assert [f.name for f in secrets.scanned(docs).schema].count("secret_spans") == 1 and secrets.scanned(docs).schema["secret_spans"].dataType.typeName() == "array"
+    assert secrets.scanned(docs.limit(0)).count() == 0
+
+
 def test_language_models_keep_all_grams(spark):
     r = random.Random(4)
     rows = [("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=3000)), lang) for lang in ("en", "fr") for _ in range(15)]
