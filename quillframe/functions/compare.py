@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
 from .text import comparable, without_accents
 
 Rule = Callable[[Column, Column], Column]
@@ -86,7 +87,7 @@ def of_json(schema: str, rule: Rule, folded: bool = False) -> Rule:
     parse = lambda x: F.from_json(without_accents(x) if folded else x, schema)
 
     def bound(a: Column, b: Column) -> Column:
-        return F.get(F.transform(F.array(F.struct(parse(a).alias("a"), parse(b).alias("b"))), lambda p: rule(p["a"], p["b"])), F.lit(0))
+        return let(F.struct(parse(a).alias("a"), parse(b).alias("b")), lambda p: rule(p["a"], p["b"]))
 
     return both(bound, _no_text)
 

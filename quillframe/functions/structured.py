@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
 from . import address, dates, ids, money
+from .binding import let
 
 
 def contractors(xs: Column, need_siret: bool = False) -> Column:
@@ -56,7 +57,7 @@ def extraction_ratio(m: Column) -> Column:
 
 def nested(schema: str, rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """A rule of nested values for their JSON texts."""
-    return lambda v: F.to_json(rule(F.from_json(v, schema)))
+    return lambda v: F.to_json(let(F.from_json(v, schema), rule))
 
 
 _ADDRESS = "struct<" + ",".join(f"{f}:string" for f in address.FIELDS) + ">"
@@ -87,17 +88,25 @@ LOT_LISTS = {"lots": "titre_lot:string", "forme_marche_lots": "structure:string,
 
 def lots(m: Column) -> Column:
     """JSON of a map's four lists of lots as one list by lot number: titre, forme, duree_lot, montant_ht, each null inside where its list lacks the lot."""
-    lists = [F.coalesce(F.from_json(F.try_element_at(m, F.lit(k)), f"{_LOT}{fields}>>"), F.expr(f"cast(array() as {_LOT}{fields}>>)")) for k, fields in LOT_LISTS.items()]
-    keys = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.transform(xs, lambda x: x["numero_lot"]) for xs in lists]))))
-    last = lambda i, k: F.get(F.reverse(F.filter(lists[i], lambda x: x["numero_lot"] == k)), F.lit(0))
-    part = lambda i, k, names: F.struct(*[last(i, k)[n].alias(n) for n in names])
-    whole = F.transform(
-        F.filter(keys, lambda k: k.isNotNull()),
-        lambda k: F.struct(
-            k.alias("numero_lot"), last(0, k)["titre_lot"].alias("titre"), part(1, k, ("structure", "tranches", "forme_prix", "attributaires")).alias("forme"), last(2, k)["duree_lot"].alias("duree_lot"),
-            part(3, k, ("montant_ht_maximum", "type_montant")).alias("montant_ht"),
-        ),
-    )
+    parsed = [F.coalesce(F.from_json(F.try_element_at(m, F.lit(k)), f"{_LOT}{fields}>>"), F.expr(f"cast(array() as {_LOT}{fields}>>)")).alias(k) for k, fields in LOT_LISTS.items()]
+
+    def merged(p: Column) -> Column:
+        lists = [p[k] for k in LOT_LISTS]
+        keys = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.transform(xs, lambda x: x["numero_lot"]) for xs in lists]))))
+        last = lambda i, k: F.get(F.reverse(F.filter(lists[i], lambda x: x["numero_lot"] == k)), F.lit(0))
+        part = lambda x, names: F.struct(*[x[n].alias(n) for n in names])
+
+        def lot(k: Column) -> Column:
+            found = F.array(F.struct(*[last(i, k).alias(f"l{i}") for i in range(4)]))
+            return F.get(F.transform(found, lambda x: F.struct(
+                k.alias("numero_lot"), x["l0"]["titre_lot"].alias("titre"), part(x["l1"], ("structure", "tranches", "forme_prix", "attributaires")).alias("forme"), x["l2"]["duree_lot"].alias("duree_lot"),
+                part(x["l3"], ("montant_ht_maximum", "type_montant")).alias("montant_ht"),
+            )), F.lit(0))
+
+        return F.transform(F.filter(keys, lambda k: k.isNotNull()), lot)
+
+    # the four lists are parsed once and bound to a name
+    whole = let(F.struct(*parsed), merged)
     return F.to_json(whole, {"ignoreNullFields": "false"})
 
 

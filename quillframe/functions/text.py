@@ -85,12 +85,17 @@ def chunks(x: Column, size: int = 1000, overlap: int = 200) -> Column:
         raise ValueError("overlap must be less than size")
     step = size - overlap
     text = stripped(without_nul(F.coalesce(x, F.lit(""))))
-    n = F.length(text)
-    made = F.transform(
-        F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1),
-        lambda i: F.struct(i.alias("chunk_id"), (i * step).alias("start_char"), F.least(i * step + size, n).alias("end_char"), F.substring(text, i * step + 1, F.lit(size)).alias("text")),
-    )
-    return F.when(n > 0, made).otherwise(F.expr("cast(array() as array<struct<chunk_id:int,start_char:int,end_char:int,text:string>>)"))
+
+    def windows(t: Column) -> Column:
+        n = t["n"]
+        return F.transform(
+            F.sequence(F.lit(0), F.ceil(n / step).cast("int") - 1),
+            lambda i: F.struct(i.alias("chunk_id"), (i * step).alias("start_char"), F.least(i * step + size, n).alias("end_char"), F.substring(t["text"], i * step + 1, F.lit(size)).alias("text")),
+        )
+
+    # the stripped text and its length are bound to a name, else they would be worked out again for every window
+    held = F.transform(F.array(text), lambda t: F.struct(t.alias("text"), F.length(t).alias("n")))
+    return F.flatten(F.transform(F.filter(held, lambda t: t["n"] > 0), windows))
 
 
 def search_all(terms: str, *columns: Column) -> Column:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.structured import cleaned
-from ..functions.text import chunks
+from ..functions.text import stripped, without_nul
 from .providers import LanguageModel, asked
+from .ranks import small
 from .retrieval import SEPARATOR
 
 #: Order of the synthesis's fields, and of classes where sources conflict.
@@ -34,7 +35,7 @@ def attribute_prompts(attributes: DataFrame, kind: str = "classification") -> Da
 def analyzed(docs: DataFrame, attributes: DataFrame, model: LanguageModel, kind: str = "classification", text: str = "text") -> DataFrame:
     """docs with answer, error and structured_data (map, cleaned by class). Empty texts are errors and are not sent; classes without attributes have no answer."""
     prompts = attribute_prompts(attributes, kind)
-    rows = docs.join(F.broadcast(prompts), kind, "left")
+    rows = docs.join(small(prompts), kind, "left")
     blank = F.length(F.coalesce(F.trim(F.col(text)), F.lit(""))) == 0
     send = rows.where(~blank & F.col("prompt").isNotNull()).withColumn("prompt", F.concat("prompt", F.lit("\n\nContexte : "), F.col(text)))
     keep = rows.where(blank | F.col("prompt").isNull()).withColumns({"answer": F.lit(None).cast("string"), "error": F.when(blank, F.lit("the text is empty"))})
@@ -42,6 +43,11 @@ def analyzed(docs: DataFrame, attributes: DataFrame, model: LanguageModel, kind:
     return cleaned(done, kind, "structured_data").drop("prompt")
 
 
+def first_part(text: Column, size: int = 1000) -> Column:
+    """The first chunk of a text; null for a blank one."""
+    return F.nullif(F.substring(stripped(without_nul(text)), 1, size), F.lit(""))
+
+
 def searched(semantic: DataFrame, lexical: DataFrame, group: list[str], item: str, k: int, weight: float | None = 0.7) -> DataFrame:
     """The k best items of each group by both lists; by the semantic one alone for a weight of 1, by the lexical one for 0."""
     from .retrieval import hybrid_top_k
@@ -62,24 +68,34 @@ def contexts(docs: DataFrame, hits: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(doc_id, F.col(text).alias("__text")).join(own, doc_id, "left")
     parts = F.transform("__hits", lambda h: h["part"])
     if first_chunk:
-        start = F.get(chunks(F.col("__text")), F.lit(0))["text"]
-        parts = F.when(F.exists("__hits", lambda h: h["chunk_id"] == 0), parts).otherwise(F.concat(F.array(start), parts))
+        parts = F.when(F.exists("__hits", lambda h: h["chunk_id"] == 0), parts).otherwise(F.concat(F.array(first_part(F.col("__text"))), parts))
     whole = F.coalesce(F.array_join(parts, SEPARATOR), F.substring("__text", 1, START_CHARS))
     return rows.select(doc_id, (whole if most is None else F.substring(whole, 1, most)).alias("context"))
 
 
+def attribute_hits(chunks: DataFrame, attributes: DataFrame, text: str = "text", most: int = 1000) -> DataFrame:
+    """chunks with the attribute of each search text that they hold, a row for each: one look at a chunk, as the catalogue (attribute, search; at most `most` rows, more are an error) goes along as a value."""
+    known = attributes.select("attribute", "search").limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"over {most} attributes")
+    if not known:
+        return chunks.withColumn("attribute", F.lit(None).cast("string")).where("false")
+    wanted = F.array(*[F.when(F.contains(text, F.lit(a.search)), F.lit(a.attribute)) for a in known])
+    return chunks.withColumn("attribute", F.explode(F.array_compact(wanted)))
+
+
 def attribute_contexts(docs: DataFrame, hits: DataFrame, attributes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, context: the contexts of each attribute's hits (attribute, chunk_id, text), by the attributes' positions, a line between.
 
     The first attribute's context begins with the document's first chunk. A document without hits for an attribute has its start there.
     """
-    wanted = F.broadcast(attributes.select("attribute", "position"))
+    wanted = small(attributes.select("attribute", "position"))
     first = attributes.agg(F.min("position")).first()[0]
     own = hits.join(wanted, "attribute").groupBy(doc_id, "position").agg(F.array_sort(F.collect_set(F.struct("chunk_id", F.col("text").alias("part")))).alias("found"))
     own = own.groupBy(doc_id).agg(F.map_from_entries(F.collect_list(F.struct("position", "found"))).alias("by"))
     all_positions = F.array(*[F.lit(r[0]) for r in attributes.select("position").distinct().orderBy("position").collect()])  # a catalogue of attributes
     rows = docs.select(doc_id, F.col(text).alias("__text")).join(own, doc_id, "left")
-    start = F.get(chunks(F.col("__text")), F.lit(0))["text"]
+    start = first_part(F.col("__text"))
 
     def one(p: Column) -> Column:
         found = F.try_element_at("by", p)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .merge import insert_ignore
+from .ranks import numbered, small
 
 #: Texts that stand for no value in spreadsheets.
 SENTINELS = ("nan", "#", "")
@@ -64,11 +65,7 @@ def patch_values(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def id_batches(ids: DataFrame, key: str, size: int) -> DataFrame:
     """key, batch (from 0): ids in their order, `size` a batch. Ranks come from counts of ranges, so no task sees all ids."""
-    rows = ids.select(key).repartitionByRange(key).withColumn("part", F.spark_partition_id())
-    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    at = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1 + F.col("before")
-    return rows.join(F.broadcast(before), "part").select(key, F.floor(at / size).cast("int").alias("batch"))
+    return numbered(ids.select(key), [], [key]).select(key, F.floor(F.col("number") / size).cast("int").alias("batch"))
 
 
 def first_ids(rows: DataFrame, keys: list[str], row_id: str) -> DataFrame:
@@ -148,10 +145,30 @@ def closed_and_retried(jobs: DataFrame, stuck: DataFrame) -> tuple[DataFrame, Da
     return closed.drop("stuck"), again
 
 
-def numbered_copies(names: Column, order: list[Column]) -> Column:
-    """File names made unique: the n-th of a name from the second on gets `_n` before its extension."""
-    n = F.row_number().over(Window.partitionBy(names).orderBy(*order))
-    return F.when(n == 1, names).otherwise(F.concat(F.regexp_replace(names, r"(\.[^.]*)?$", ""), F.lit("_"), n.cast("string"), F.regexp_extract(names, r"(\.[^.]*)$", 1)))
+def unique_names(rows: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """rows with each file name made unique: the first of a name (by `order`) keeps it, the others get `_1`, `_2`, ... before the extension.
+
+    Numbers go on until a name is free: one that some row has for its own is passed over. Names that are made cannot meet, as a name tells its
+    stem and number. Null names stay. A name of any number of rows is split over tasks.
+    """
+    stem, extension = F.regexp_replace(name, r"(?s)(\.[^.]*)?$", ""), F.regexp_extract(name, r"(?s)(\.[^.]*)$", 1)
+    at = numbered(rows, [name], order, "__n")
+    again = at.where(F.col("__n") > 0).select(F.col(name).alias("__name")).distinct()
+    # own names of the form stem_number.extension, by the name whose copies they would be
+    counter = F.regexp_extract(name, r"(?s)^.*_([1-9][0-9]{0,8})(\.[^.]*)?$", 1)
+    base = F.regexp_replace(name, r"(?s)_[1-9][0-9]{0,8}(\.[^.]*)?$", "$1")
+    own = rows.where(F.col(name).isNotNull() & (counter != "")).select(base.alias("__name"), counter.cast("int").alias("__taken"))
+    taken = own.join(again, "__name", "left_semi").groupBy("__name").agg(F.array_sort(F.collect_set("__taken")).alias("__taken"))
+    at = at.join(small(taken), at[name] == taken["__name"], "left")
+    # the n-th number that is not taken: each taken one at or below it moves it on
+    number = F.aggregate(F.coalesce("__taken", F.expr("cast(array() as array<int>)")), F.col("__n"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    made = F.when(F.col("__n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), number.cast("string"), extension))
+    return at.withColumn(name, F.when(F.col(name).isNotNull(), made)).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def expanded(rows: DataFrame, key: str, items: str, into: str) -> DataFrame:
+    """key, into: a bridge row for each item of a list column, once; null lists, null items and empty lists give none."""
+    return rows.select(key, F.explode(items).alias(into)).where(F.col(into).isNotNull()).distinct()
 
 
 def flattened_name(path: Column, root: str) -> Column:

@@ -168,8 +168,9 @@ ORACLE_SQL = {
     "hybrid_topk": """WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0),
   s AS (SELECT label, vec_id AS item, -round(list_sum(list_transform(list_zip(embedding, v), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6) AS score FROM embeddings, q),
   l AS (SELECT label, doc_id AS item, len(regexp_extract_all(text, 'the'))::DOUBLE AS score FROM documents JOIN embeddings ON vec_id = doc_id WHERE contains(text, 'the')),
-  a AS (SELECT label, item, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS a FROM s WINDOW w AS (PARTITION BY label)),
-  b AS (SELECT label, item, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS b FROM l WINDOW w AS (PARTITION BY label)),
+  s2 AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, item) <= 10), l2 AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, item) <= 10),
+  a AS (SELECT label, item, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS a FROM s2 WINDOW w AS (PARTITION BY label)),
+  b AS (SELECT label, item, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS b FROM l2 WINDOW w AS (PARTITION BY label)),
   m AS (SELECT label, item, 0.7::DOUBLE * coalesce(a, 0) + (1 - 0.7::DOUBLE) * coalesce(b, 0) AS score FROM a FULL JOIN b USING (label, item))
   SELECT label, item, round(score, 5) AS score, row_number() OVER (PARTITION BY label ORDER BY score DESC, item)::INT AS rank FROM m QUALIFY row_number() OVER (PARTITION BY label ORDER BY m.score DESC, item) <= 5""",
     "context_assembly": f"""{CHUNKS_SQL}, c AS (SELECT doc_id, substring(string_agg(text, chr(10) || chr(10) || '---------------------------------' || chr(10) || chr(10) ORDER BY start_char), 1, 5000) AS context

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import count_words
 from ..operators import limits, workflow
 from ..operators import steps as chain
+from ..operators.ranks import scratch_folder
 from .documents import WORDS_SQL
-from .tables import STEPS_SQL, read, scratch_folder, steps_from_events
+from .tables import STEPS_SQL, read, steps_from_events
 
 
 def batch_progress_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import structured, text
 from ..operators import extraction, quality, records, retrieval, workflow
+from .documents import WORDS_SQL
 from .tables import STEPS_SQL, read, steps_from_events
 
 
@@ -118,9 +119,10 @@ def backfill_and_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bridge_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bridge row for each order whose customer reference is not null."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_custkey")).alias("c_custkey"))
-    return o.where("c_custkey is not null").select("o_orderkey", "c_custkey")
+    """Documents whose list of engagements becomes bridge rows: the suppliers of each order's lines, some null, some repeated."""
+    lines = read(spark, sf_dir, "lineitem")
+    listed = lines.groupBy("l_orderkey").agg(F.transform(F.collect_list(F.struct("l_suppkey")), lambda x: F.when(x["l_suppkey"] % 4 != 0, x["l_suppkey"])).alias("engagements"))
+    return records.expanded(listed, "l_orderkey", "engagements", "l_suppkey")
 
 
 def close_and_retry_stuck(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,8 +193,10 @@ def _hits(docs: DataFrame) -> DataFrame:
 def select_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that hold `entre` (with the first one) of long documents, the text of others."""
     docs = read(spark, sf_dir, "documents").where("text is not null")
-    found = extraction.contexts(docs, _hits(docs), most=20_000, first_chunk=True)
-    rows = extraction.content(docs, found, text.count_words(F.col("text")))
+    words = text.count_words(F.col("text"))
+    long = docs.where(words > extraction.LONG_WORDS)  # only these are cut to chunks
+    found = extraction.contexts(long, _hits(long), most=20_000, first_chunk=True)
+    rows = extraction.content(docs, found, words)
     return rows.select("doc_id", "is_embedded", F.sha2("content", 256).alias("content_hash"))
 
 
@@ -206,8 +210,7 @@ def multi_attribute_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts of two attributes, one after the other."""
     docs = read(spark, sf_dir, "documents").where("text is not null")
     attributes = spark.createDataFrame([("first", 1, "entre"), ("second", 2, "the")], "attribute string, position int, search string")
-    chunks = retrieval.chunked(docs)
-    hits = chunks.join(F.broadcast(attributes), F.contains("text", F.col("search"))).select("doc_id", "attribute", "chunk_id", "text")
+    hits = extraction.attribute_hits(retrieval.chunked(docs), attributes).select("doc_id", "attribute", "chunk_id", "text")
     return extraction.attribute_contexts(docs, hits, attributes).select("doc_id", F.sha2("context", 256).alias("context_hash"))
 
 
@@ -227,10 +230,12 @@ def synthesis_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flattened file names made unique."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("root/"), F.col("o_custkey"), F.lit("/"), F.col("o_orderstatus"), F.lit(".pdf")).alias("path"))
-    rows = o.withColumn("name", records.flattened_name(F.col("path"), "root"))
-    return rows.select("o_orderkey", records.numbered_copies(F.col("name"), [F.col("o_orderkey")]).alias("name"))
+    """Flattened file names made unique, some of which already look like copies of others."""
+    o = read(spark, sf_dir, "orders")
+    number = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("_"), (F.col("o_orderkey") % 3 + 1).cast("string"))).otherwise("")
+    paths = o.select("o_orderkey", F.concat(F.lit("root/"), F.col("o_custkey") % 100, F.lit("/"), F.col("o_orderstatus"), number, F.lit(".pdf")).alias("path"))
+    rows = paths.select("o_orderkey", records.flattened_name(F.col("path"), "root").alias("name"))
+    return records.unique_names(rows, "name", ["o_orderkey"])
 
 
 def contract_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,7 +260,7 @@ _JOBS = STEPS_SQL + """, jobs AS (SELECT batch_id, job_id, CASE WHEN bool_or(sta
 _STRIP = f"regexp_replace(text, '^{text.BLANK}+|{text.BLANK}+$', '', 'g')"
 _CHUNKS = f"""WITH t AS (SELECT doc_id, text, {_STRIP} AS s FROM documents WHERE text IS NOT NULL),
   c AS (SELECT doc_id, i::INT AS chunk_id, s[i * 800 + 1 : i * 800 + 1000] AS part FROM t, unnest(range(ceil(length(s) / 800.0)::BIGINT)) AS r(i) WHERE length(s) > 0)"""
-_WORDS = f"CASE WHEN length({_STRIP}) > 0 THEN len(regexp_split_to_array({_STRIP}, '{text.BLANK}+')) ELSE 0 END"
+_WORDS = WORDS_SQL
 _SYNTHESIS = ", ".join(f"('{f}')" for f in extraction.SYNTHESIS_FIELDS)
 
 ORACLE_SQL = {
@@ -280,7 +285,7 @@ ORACLE_SQL = {
     "set_edit": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'B,X' ELSE array_to_string(list_sort([n_name, 'X']), ',') END AS members FROM nation",
     "sorted_items": "SELECT event_id, 'a=' || event_type || ';k=' || (props->>'$.k') AS items FROM events",
     "backfill_and_rename": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'old' END AS response, CASE event_type WHEN 'click' THEN 'press' ELSE event_type END || ',other' AS steps, CASE event_type WHEN 'click' THEN 'press' ELSE event_type END AS step FROM events",
-    "bridge_expansion": "SELECT o_orderkey, o_custkey AS c_custkey FROM orders WHERE o_orderkey % 4 <> 0 AND o_custkey IS NOT NULL",
+    "bridge_expansion": "SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_suppkey % 4 <> 0",
     "close_and_retry_stuck": f"""{_JOBS}, stuck AS (SELECT batch_id FROM steps GROUP BY batch_id HAVING max(finished_at) < TIMESTAMP '2024-01-30 11:30:00' INTERSECT SELECT batch_id FROM jobs WHERE status = 'STARTED')
   SELECT batch_id, count(DISTINCT job_id) AS n FROM jobs JOIN stuck USING (batch_id) WHERE status IN ('STARTED', 'FAILURE', 'CANCELLED') GROUP BY batch_id""",
     "list_as_table": "SELECT n_regionkey, 'n_nationkey|of.n_name;' || string_agg(n_nationkey || '|' || n_name, ';' ORDER BY n_nationkey) AS shown FROM nation GROUP BY n_regionkey",
@@ -304,7 +309,9 @@ ORACLE_SQL = {
   b AS (SELECT o_custkey, string_agg('{{"filename":"' || name || '","classification":"' || kind || '","data":"' || data || '"}}', chr(10) ORDER BY rank, name) AS body FROM o GROUP BY o_custkey)
   SELECT o_custkey, field, sha256('Champ à consolider : ' || field || chr(10) || 'Documents :' || chr(10) || body) AS prompt_hash FROM b, (VALUES {_SYNTHESIS}) v(field)""",
     "synthesis_values": "SELECT c_custkey, 'v' || c_custkey AS libelle, 'v' || c_custkey AS prestataire, NULL::VARCHAR AS siret_prestataire FROM customer",
-    "numbered_copies": """WITH o AS (SELECT o_orderkey, o_custkey || '_' || o_orderstatus AS stem, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS n FROM orders)
-  SELECT o_orderkey, CASE WHEN n = 1 THEN stem || '.pdf' ELSE stem || '_' || n || '.pdf' END AS name FROM o""",
+    "numbered_copies": """WITH o AS (SELECT o_orderkey, (o_custkey % 100) || '_' || o_orderstatus || CASE WHEN o_orderkey % 5 = 0 THEN '_' || (o_orderkey % 3 + 1) ELSE '' END AS stem FROM orders),
+  t AS (SELECT regexp_replace(stem, '_[0-9]+$', '') AS stem, list_sort(list(DISTINCT regexp_extract(stem, '_([0-9]+)$', 1)::BIGINT)) AS taken FROM o WHERE regexp_matches(stem, '_[0-9]+$') GROUP BY 1),
+  n AS (SELECT o.*, row_number() OVER (PARTITION BY o.stem ORDER BY o_orderkey) - 1 AS n, coalesce(taken, []) AS taken FROM o LEFT JOIN t USING (stem))
+  SELECT o_orderkey, CASE WHEN n = 0 THEN stem || '.pdf' ELSE stem || '_' || list_reduce(taken, lambda a, x: CASE WHEN x <= a THEN a + 1 ELSE a END, n) || '.pdf' END AS name FROM n""",
     "contract_days": "SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::INT AS days, DATE '1996-06-01' BETWEEN o_orderdate::DATE AND l_shipdate::DATE AS active, floor(l_extendedprice * l_tax)::BIGINT AS tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 }

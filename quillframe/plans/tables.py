@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +10,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A new place in spark.checkpoint.dir; in a folder of our own where that is unset and driver and executors are one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="quillframe-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def steps_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as steps: a user is a batch, ten events (by id) of a user a job, the type stands for status."""
     e = read(spark, sf_dir, "events")

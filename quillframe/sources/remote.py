@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import time
 import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-ACTIVITY = "alerte string, num_ej string, date_reception string, pur_org string, pur_group string"
+from ..operators.ranks import numbered
+
+ACTIVITY = "alerte string, num_ej string, date_reception timestamp, pur_org string, pur_group string, error string"
 
 
 def with_retries(call, retries: int = 3, busy_delay: float = 60.0, delay: float = 10.0, sleep=time.sleep):
@@ -36,8 +40,17 @@ def with_retries(call, retries: int = 3, busy_delay: float = 60.0, delay: float
         sleep(pause * (1 + 0.1 * random.random()) * attempt)
 
 
-def odata_filter(start: str, end: str, organization: str, group: str) -> str:
-    return f"date_reception ge {start} and date_reception le {end} and pur_org eq '{organization}' and pur_group eq '{group}'"
+def odata_filter(start: datetime | None, end: datetime | None, organization: str, group: str) -> str:
+    """The remote filter of one scope; bounds that are not asked for are left out, quotes in values doubled."""
+    literal = lambda t: f"datetime'{t:%Y-%m-%dT%H:%M:%S}'"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = [f"date_reception {op} {literal(t)}" for op, t in (("ge", start), ("le", end)) if t is not None]
+    return " and ".join([*parts, f"pur_org eq {quoted(organization)}", f"pur_group eq {quoted(group)}"])
+
+
+def http_json(url: str, query: str) -> list[dict]:
+    """The results of one page of a service; busy and failing servers are asked again."""
+    return with_retries(lambda: json.load(urllib.request.urlopen(f"{url}?{query}", timeout=180)))["d"]["results"]
 
 
 class Scope(InputPartition):
@@ -46,28 +59,83 @@ class Scope(InputPartition):
         self.organization, self.group = organization, group
 
 
+def _utc(x: str | datetime) -> datetime:
+    t = datetime.fromisoformat(x) if isinstance(x, str) else x
+    return t.astimezone(timezone.utc).replace(tzinfo=None) if t.tzinfo else t
+
+
+def activity_row(raw: object) -> tuple:
+    """A row of ACTIVITY; what is wrong with it, if anything, is its error: no object, a missing or empty field, or a date of another form."""
+    fields = ("alerte", "num_ej", "date_reception", "pur_org", "pur_group")
+    if not isinstance(raw, dict):
+        return (None,) * len(fields) + ("no object",)
+    values = {k: raw.get(k) for k in fields}
+    wrong = [f"{k} is missing" for k, v in values.items() if v in (None, "")]
+    told = re.fullmatch(r"/Date\((-?[0-9]{1,14})\)/", str(values["date_reception"]))
+    if told is None and "date_reception is missing" not in wrong:
+        wrong.append(f"date_reception is no date: {values['date_reception']}")
+    when = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=int(told[1])) if told else None
+    text = lambda v: None if v is None else str(v)
+    return text(values["alerte"]), text(values["num_ej"]), when, text(values["pur_org"]), text(values["pur_group"]), "; ".join(wrong) or None
+
+
 class ActivityReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.url, self.folder = options.get("url"), options.get("folder")
-        self.start, self.end = options.get("start", ""), options.get("end", "")
+    """A partition for each scope; start and end go into the remote filter."""
+
+    def __init__(self, options: dict, fetch: Callable[[str, str], list[dict]]):
+        self.url, self.folder, self.fetch = options.get("url"), options.get("folder"), fetch
+        bound = lambda k: _utc(options[k]) if options.get(k) else None
+        self.start, self.end = bound("start"), bound("end")
         self.scopes = [tuple(x.split("/", 1)) for x in options["scopes"].split(",")]
 
     def partitions(self) -> list[Scope]:
         return [Scope(*s) for s in self.scopes]
 
-    def read(self, partition: Scope) -> Iterator[tuple]:
+    def read(self, partition: Scope | None) -> Iterator[tuple]:
+        if partition is None:  # no scope is left
+            return
         if self.folder:
             page = Path(self.folder, f"{partition.organization}_{partition.group}.json")
             rows = json.loads(page.read_text()) if page.exists() else []
         else:
-            query = urllib.parse.urlencode({"$filter": odata_filter(self.start, self.end, partition.organization, partition.group), "$format": "json"})
-            rows = with_retries(lambda: json.load(urllib.request.urlopen(f"{self.url}?{query}", timeout=180)))["d"]["results"]
+            rows = self.fetch(self.url, urllib.parse.urlencode({"$filter": odata_filter(self.start, self.end, partition.organization, partition.group), "$format": "json"}))
         for r in rows:
-            yield tuple(r.get(c.split()[0]) for c in ACTIVITY.split(", "))
+            out = activity_row(r)
+            yield *out[:3], out[3] or partition.organization, out[4] or partition.group, out[5]
+
+
+class FilteredActivityReader(ActivityReader):
+    """A partition for each scope that the query's filters leave; bounds of the date go into the remote filter too."""
+
+    def pushFilters(self, filters: list) -> Iterator:
+        """Takes comparisons of date_reception with a value, and equality and lists of pur_org and pur_group; gives the others back to Spark.
+
+        The service compares whole seconds and both ends count, so Spark looks at the date bounds again.
+        """
+        for f in filters:
+            name, value = ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
+            if name == "date_reception" and value is not None and isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                low = _utc(value).replace(microsecond=0)
+                self.start = low if self.start is None else max(self.start, low)
+            if name == "date_reception" and value is not None and isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                high = _utc(value).replace(microsecond=0) + timedelta(seconds=1)
+                self.end = high if self.end is None else min(self.end, high)
+            place = {"pur_org": 0, "pur_group": 1}.get(name)
+            if place is not None and isinstance(f, (EqualTo, In)) and value is not None:
+                wanted = value if isinstance(f, In) else (value,)
+                self.scopes = [s for s in self.scopes if s[place] in wanted]
+            elif not (isinstance(f, IsNotNull) and place is not None):
+                yield f
 
 
 class ActivitySource(DataSource):
-    """spark.dataSource.register(ActivitySource); read.format("activity") with options scopes (`org/group,..`), start, end, and url or folder. A partition for each scope."""
+    """spark.dataSource.register(ActivitySource); read.format("activity") with options scopes (`org/group,..`), start, end, and url or folder. A partition for each scope.
+
+    Every row comes back; `error` says what is wrong with one, so `where error is null` has the valid ones. With option("pushdown", "true"), which needs
+    spark.sql.python.filterPushdown.enabled, filters on date_reception, pur_org and pur_group choose scopes and go into the remote filter. Subclasses may set another `fetch`.
+    """
+
+    fetch = staticmethod(http_json)
 
     @classmethod
     def name(cls) -> str:
@@ -77,7 +145,8 @@ class ActivitySource(DataSource):
         return ACTIVITY
 
     def reader(self, schema) -> ActivityReader:
-        return ActivityReader(self.options)
+        kind = FilteredActivityReader if self.options.get("pushdown", "").lower() == "true" else ActivityReader
+        return kind(self.options, type(self).fetch)
 
 
 METADATA = "num_ej string, id string, filename string, mime_type string, size long, created string"
@@ -106,7 +175,7 @@ class MetadataReader(DataSourceReader):
             rows = json.loads(page.read_text()) if page.exists() else []
         else:
             query = urllib.parse.urlencode({"$filter": f"num_ej eq '{partition.key}' and object_type eq '{self.kind}'", "$format": "json"})
-            rows = with_retries(lambda: json.load(urllib.request.urlopen(f"{self.url}?{query}", timeout=180)))["d"]["results"]
+            rows = http_json(self.url, query)
         for r in rows:
             if r.get("id"):  # a row without an id names no document
                 yield partition.key, *(r.get(c.split()[0]) for c in METADATA.split(", ")[1:])
@@ -146,7 +215,6 @@ def downloaded(docs: DataFrame, fetch, doc_id: str = "id", size: str = "size", d
 
 
 def listing_slice(names: DataFrame, name: str, number: int, size: int) -> DataFrame:
-    """The names of one chunk (from 0) of so many, in their order."""
-    place = F.row_number().over(Window.orderBy(name)) - 1
-    first = names.orderBy(name).limit((number + 1) * size)  # no more than those up to the chunk's end are put in order
-    return first.select(name, place.alias("__at")).where(F.col("__at") >= number * size).select(name)
+    """The names of one chunk (from 0) of so many, in their order. Places come from counts of ranges: a chunk far on is as cheap as the first, and no task sorts all names."""
+    rows = numbered(names.select(name), [], [name], "__at")
+    return rows.where((F.col("__at") >= number * size) & (F.col("__at") < (number + 1) * size)).orderBy(name).select(name)

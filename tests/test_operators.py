@@ -129,7 +129,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "OA_GA.json").write_text(json.dumps([{"alerte": "Création", "num_ej": "1"}]))
     spark.dataSource.register(remote.ActivitySource)
     got = spark.read.format("activity").option("folder", str(tmp_path)).option("scopes", "OA/GA,OB/GB").load().collect()
-    assert [(r.alerte, r.num_ej, r.pur_org) for r in got] == [("Création", "1", None)]
+    assert [(r.alerte, r.num_ej, r.pur_org, r.error) for r in got] == [("Création", "1", "OA", "date_reception is missing; pur_org is missing; pur_group is missing")]
 
 
 def test_retries():
