@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import files, text
-from ..operators import dedup, merge, retrieval
+from ..operators import dedup, merge, retrieval, search
+from ..operators.ranks import scratch_folder
 from .tables import read
 
 WORDS_SQL = "len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+'))"
@@ -145,7 +146,24 @@ def extension_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", name.alias("name_ext"), files.reconciled_extension(name, content).alias("extension"))
 
 
-QUERIES = {f.__name__: f for f in (word_count_by_lang, sha256_dedup_keep_first, dedup_within_key, insert_ignore_documents, incremental_work_filter, chunk_documents, prefix_filter, text_predicates, multi_column_search, lexical_topk, tfidf_weights, vector_topk_l2, hybrid_topk, context_assembly, prompt_assembly, extension_reconcile)}
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each benchmark text the five documents that are most like it by TF-IDF cosine, ties to the larger id."""
+    docs, queries = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    postings, stats = search.inverted_index(docs, "doc_id", "text")
+    return search.lexical_search(postings, stats, queries, 5, "doc_id", places=6)
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of chunks after two additions of documents and a replacement of every fifth: its chunks as they stand."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = search.ChunkIndex(spark, scratch_folder(spark, "index"), 8)
+    index.add(docs.where("doc_id % 2 = 0"))
+    index.add(docs.where("doc_id % 2 = 1"))
+    index.add(docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("new "), F.substring("text", 1, 1500))))
+    return index.chunks().select(F.col("doc_id").cast("long").alias("doc_id"), "chunk_id", "start_char", "end_char", F.sha2("text", 256).alias("text_hash"))
+
+
+QUERIES = {f.__name__: f for f in (word_count_by_lang, sha256_dedup_keep_first, dedup_within_key, insert_ignore_documents, incremental_work_filter, chunk_documents, prefix_filter, text_predicates, multi_column_search, lexical_topk, tfidf_weights, vector_topk_l2, hybrid_topk, context_assembly, prompt_assembly, extension_reconcile, lexical_search, chunk_index)}
 
 ORACLE_SQL = {
     "word_count_by_lang": f"SELECT lang, count(*) AS n_docs, sum({WORDS_SQL})::BIGINT AS n_words FROM documents GROUP BY lang",
@@ -179,4 +197,16 @@ ORACLE_SQL = {
     "extension_reconcile": """WITH p AS (SELECT page_id, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([^./\\\\]+)$', 1)) AS e, contains(lower(html), '<html') AS h FROM pages),
   n AS (SELECT page_id, CASE WHEN length(e) <= 10 THEN e ELSE '' END AS name_ext, CASE WHEN h THEN 'html' ELSE 'unknown' END AS c FROM p)
   SELECT page_id, name_ext, CASE WHEN name_ext = c THEN name_ext WHEN name_ext = '' THEN c WHEN c = 'unknown' THEN name_ext ELSE c END AS extension FROM n""",
+    "lexical_search": """WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents WHERE text IS NOT NULL),
+  terms AS (SELECT doc_id, unnest(w) AS term FROM words UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
+  counts AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM counts GROUP BY ALL), n AS (SELECT count(*) AS n FROM words),
+  idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, n WHERE df >= 2 AND df <= 0.85 * n),
+  d AS (SELECT doc_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY doc_id)) AS w FROM counts JOIN idf USING (term)),
+  qw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM benchmark),
+  qt AS (SELECT item_id, unnest(w) AS term FROM qw UNION ALL SELECT item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM qw),
+  q AS (SELECT item_id, term, count(*) * idf AS x FROM qt JOIN idf USING (term) GROUP BY item_id, term, idf), qn AS (SELECT item_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY item_id)) AS q FROM q),
+  s AS (SELECT item_id AS query_id, doc_id, round(sum(q * w), 6) AS score FROM qn JOIN d USING (term) GROUP BY ALL)
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC)::INT AS rank FROM s QUALIFY rank <= 5""",
+    "chunk_index": f"""WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new ' || substring(text, 1, 1500) ELSE text END AS text FROM documents WHERE text <> ''), trimmed AS (SELECT doc_id, {STRIP} AS t FROM docs WHERE length({STRIP}) > 0)
+  SELECT doc_id, i::INT AS chunk_id, (i * 800)::INT AS start_char, least(i * 800 + 1000, length(t))::INT AS end_char, sha256(substring(t, (i * 800 + 1)::INT, 1000)) AS text_hash FROM trimmed, unnest(range((ceil(length(t) / 800.0))::BIGINT)) AS r(i)""",
 }
