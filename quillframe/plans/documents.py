@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import struct
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import files, text
+from ..functions import containers, files, text
 from ..operators import dedup, merge, retrieval, search
 from ..operators.ranks import scratch_folder
 from .tables import read
@@ -163,7 +165,41 @@ def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.chunks().select(F.col("doc_id").cast("long").alias("doc_id"), "chunk_id", "start_char", "end_char", F.sha2("text", 256).alias("text_hash"))
 
 
-QUERIES = {f.__name__: f for f in (word_count_by_lang, sha256_dedup_keep_first, dedup_within_key, insert_ignore_documents, incremental_work_filter, chunk_documents, prefix_filter, text_predicates, multi_column_search, lexical_topk, tfidf_weights, vector_topk_l2, hybrid_topk, context_assembly, prompt_assembly, extension_reconcile, lexical_search, chunk_index)}
+def _little(n: F.Column, size: int) -> F.Column:
+    """A number's bytes, the lowest first."""
+    digits = F.lpad(F.hex(n.cast("long")), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]))
+
+
+def _archive(name: str, data: F.Column) -> F.Column:
+    """A zip archive of one member, stored as it is."""
+    n, fixed = F.octet_length(data), lambda h: F.lit(bytes.fromhex(h))
+    about = F.concat(fixed("1400" + "00" * 12), _little(n, 4), _little(n, 4), _little(F.lit(len(name)), 2))
+    local = F.concat(fixed("504B0304"), about, fixed("0000"), F.lit(name.encode()), data)
+    central = F.concat(fixed("504B01021400"), about, fixed("00" * 16), F.lit(name.encode()))
+    return F.concat(local, central, fixed("504B0506" + "00" * 4 + "01000100"), _little(F.octet_length(central), 4), _little(F.octet_length(local), 4), fixed("0000"))
+
+
+def _compound(stream: str) -> bytes:
+    """A compound document of one empty stream: a header, its allocation table and its directory."""
+    entry = lambda name, kind, child: name.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HBBIII", 2 * len(name) + 2, kind, 1, 2**32 - 1, 2**32 - 1, child) + bytes(48)
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + bytes(10) + struct.pack("<8I", 1, 1, 0, 4096, 2**32 - 2, 0, 2**32 - 2, 0)
+    table = struct.pack("<128I", 2**32 - 3, 2**32 - 2, *[2**32 - 1] * 126)
+    return head + struct.pack("<109I", 0, *[2**32 - 1] * 108) + table + (entry("Root Entry", 5, 1) + entry(stream, 2, 2**32 - 1)).ljust(512, b"\0")
+
+
+def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages inside files of nine kinds: the kind by content, and by the older rules; the members of archives."""
+    pages = read(spark, sf_dir, "pages")
+    html, media = F.encode("html", "UTF-8"), F.lit(b"application/vnd.oasis.opendocument.text")
+    forms = [_archive("word/document.xml", html), _archive("mimetype", media), _archive("page.html", html), *[F.concat(F.lit(_compound(s)), html) for s in ("WordDocument", "Workbook", "__properties_version1.0")], F.concat(F.lit(b"%PDF-1.7\n"), html), html, F.concat(F.lit(bytes.fromhex("89504E470D0A1A0A")), html)]
+    content = F.coalesce(*[F.when(F.col("page_id") % len(forms) == i, f) for i, f in enumerate(forms)])
+    rows = pages.select("page_id", content.alias("content"))
+    members = F.when(F.col("page_id") % 9 < 3, containers.archive_members(F.col("content")))
+    return rows.select("page_id", containers.kind_of(F.col("content")).alias("kind"), containers.legacy_kind(F.lit("file.doc"), F.col("content")).alias("legacy"), F.get(members, F.lit(0))["name"].alias("member"), F.size(containers.compound_names(F.col("content"))).alias("n_streams"))
+
+
+QUERIES = {f.__name__: f for f in (word_count_by_lang, sha256_dedup_keep_first, dedup_within_key, insert_ignore_documents, incremental_work_filter, chunk_documents, prefix_filter, text_predicates, multi_column_search, lexical_topk, tfidf_weights, vector_topk_l2, hybrid_topk, context_assembly, prompt_assembly, extension_reconcile, lexical_search, chunk_index, content_kinds)}
 
 ORACLE_SQL = {
     "word_count_by_lang": f"SELECT lang, count(*) AS n_docs, sum({WORDS_SQL})::BIGINT AS n_words FROM documents GROUP BY lang",
@@ -209,4 +245,6 @@ ORACLE_SQL = {
   SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC)::INT AS rank FROM s QUALIFY rank <= 5""",
     "chunk_index": f"""WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'new ' || substring(text, 1, 1500) ELSE text END AS text FROM documents WHERE text <> ''), trimmed AS (SELECT doc_id, {STRIP} AS t FROM docs WHERE length({STRIP}) > 0)
   SELECT doc_id, i::INT AS chunk_id, (i * 800)::INT AS start_char, least(i * 800 + 1000, length(t))::INT AS end_char, sha256(substring(t, (i * 800 + 1)::INT, 1000)) AS text_hash FROM trimmed, unnest(range((ceil(length(t) / 800.0))::BIGINT)) AS r(i)""",
+    "content_kinds": """SELECT page_id, ['docx', 'odt', 'zip', 'doc', 'xls', 'msg', 'pdf', 'txt', 'png'][page_id % 9 + 1] AS kind, ['docx', 'odt', 'zip', 'doc', 'doc', 'doc', 'pdf', 'unknown', 'png'][page_id % 9 + 1] AS legacy,
+  CASE page_id % 9 WHEN 0 THEN 'word/document.xml' WHEN 1 THEN 'mimetype' WHEN 2 THEN 'page.html' END AS member, CASE WHEN page_id % 9 IN (3, 4, 5) THEN 1 ELSE 0 END AS n_streams FROM pages""",
 }
