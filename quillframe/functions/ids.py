@@ -24,6 +24,82 @@ _VALUES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _KEY_DIGITS = "12345678912345678923456789"
 
 
+#: The checks of national account numbers, by country: kind, first character (from 0), weights of the characters from there on (the last is the check's own)
+#: or how many they are, modulus, remainder. sum: weighted sum; ten: as sum, a check of 10 is written 1; luhn: as sum, of the digits of each product; mod: the characters
+#: as one number; own: the last two digits are the others' remainder, 97 for 0; iso: ISO 7064 MOD 11,10; cin: the letter before of the odd and even table.
+NATIONAL = {
+    "BA": [("mod", 0, 16, 97, 1)],
+    "BE": [("own", 0, 12, 97, 0)],
+    "CZ": [("sum", 4, (10, 5, 8, 4, 2, 1), 11, 0), ("sum", 10, (6, 3, 7, 9, 10, 5, 8, 4, 2, 1), 11, 0)],
+    "EE": [("sum", 2, (7, 1, 3, 7, 1, 3, 7, 1, 3, 7, 1, 3, 7, 1), 10, 0)],
+    "ES": [("ten", 0, (4, 8, 5, 10, 9, 7, 3, 6, 1), 11, 0), ("ten", 9, (1, 1, 2, 4, 8, 5, 10, 9, 7, 3, 6), 11, 0)],
+    "FI": [("luhn", 0, (2, 1) * 7, 10, 0)],
+    "HR": [("iso", 0, 7, 10, 1), ("iso", 7, 10, 10, 1)],
+    "HU": [("sum", 0, (9, 7, 3, 1) * 2, 10, 0), ("sum", 8, (9, 7, 3, 1) * 4, 10, 0)],
+    "IS": [("sum", 12, (3, 2, 7, 6, 5, 4, 3, 2, 1), 11, 0)],
+    "IT": [("cin", 0, 23, 26, 0)],
+    "ME": [("mod", 0, 18, 97, 1)],
+    "MK": [("mod", 0, 15, 97, 1)],
+    "MR": [("mod", 0, 23, 97, 0)],
+    "NO": [("sum", 0, (5, 4, 3, 2, 7, 6, 5, 4, 3, 2, 1), 11, 0)],
+    "PL": [("sum", 0, (3, 9, 7, 1, 3, 9, 7, 1), 10, 0)],
+    "PT": [("mod", 0, 21, 97, 1)],
+    "RS": [("mod", 0, 18, 97, 1)],
+    "SI": [("mod", 0, 15, 97, 1)],
+    "SK": [("sum", 4, (10, 5, 8, 4, 2, 1), 11, 0), ("sum", 10, (6, 3, 7, 9, 10, 5, 8, 4, 2, 1), 11, 0)],
+    "SM": [("cin", 0, 23, 26, 0)],
+    "TL": [("mod", 0, 19, 97, 1)],
+    "TN": [("mod", 0, 20, 97, 0)],
+}
+#: What the odd and even table puts for the characters 0-9 and A-Z at odd places.
+ODD_VALUES = (1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 1, 0, 5, 7, 9, 13, 15, 17, 19, 21, 2, 4, 18, 20, 11, 3, 6, 8, 12, 14, 16, 10, 22, 25, 24, 23)
+
+
+def _national_map() -> str:
+    """NATIONAL as a map in SQL, weights always a list."""
+    one = lambda c: f"named_struct('kind', '{c[0]}', 'at', {c[1]}, 'weights', array({', '.join(map(str, c[2] if isinstance(c[2], tuple) else (1,) * c[2]))}), 'modulus', {c[3]}, 'rest', {c[4]})"
+    return "map(" + ", ".join(f"'{k}', array({', '.join(map(one, checks))})" for k, checks in NATIONAL.items()) + ")"
+
+
+_CHECKS = _national_map()
+
+
+def national_is_valid(country: Column, number: Column) -> Column:
+    """All checks that the country has for its account numbers (without the four first characters of an IBAN); true where it has none. A character that a check can't take fails it."""
+    values = F.transform(F.filter(F.split(number, ""), lambda c: c != ""), lambda c: F.position(c, F.lit(_VALUES)) - 1)
+
+    def holds(check: Column, all_values: Column) -> Column:
+        n = F.size(check["weights"])
+        part = F.slice(all_values, check["at"] + 1, n)
+        digits = F.forall(part, lambda v: (v >= 0) & (v <= 9))
+        last, body = F.element_at(part, -1), F.slice(part, F.lit(1), n - 1)
+        total = lambda product: F.aggregate(F.zip_with(part, check["weights"], product), F.lit(0), lambda a, x: a + x)
+        plain = total(lambda v, w: v * w) % check["modulus"]
+        ten = F.when(last == 1, (plain == 2) | (plain == 0)).otherwise(plain == 0)
+        luhn = total(lambda v, w: F.when(v * w > 9, v * w - 9).otherwise(v * w)) % check["modulus"] == check["rest"]
+        number97 = lambda xs: F.aggregate(xs, F.lit(0), lambda a, v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97)
+        own = F.slice(part, F.lit(1), n - 2)
+        told = F.element_at(part, -2) * 10 + last
+        remainder = number97(own)
+        iso = F.aggregate(body, F.lit(10), lambda p, v: F.when((p + v) % 10 == 0, 20 % F.lit(11)).otherwise(((p + v) % 10) * 2 % 11))
+        odd = F.array(*[F.lit(v) for v in ODD_VALUES])
+        rest = F.slice(part, F.lit(2), n - 1)
+        cin = F.aggregate(F.transform(rest, lambda v, i: F.when(i % 2 == 0, F.get(odd, v)).otherwise(F.when(v > 9, v - 10).otherwise(v))), F.lit(0), lambda a, v: a + v) % 26
+        return (
+            F.when(F.size(part) < n, False)
+            .when(check["kind"] == "sum", digits & (plain == check["rest"]))
+            .when(check["kind"] == "ten", digits & ten)
+            .when(check["kind"] == "luhn", digits & luhn)
+            .when(check["kind"] == "mod", digits & (number97(part) == check["rest"]))
+            .when(check["kind"] == "own", digits & (told == F.when(remainder == 0, 97).otherwise(remainder)))
+            .when(check["kind"] == "iso", digits & ((iso + last) % 10 == 1))
+            .otherwise((F.element_at(part, 1) == cin + 10))
+        )
+
+    checks = F.try_element_at(F.expr(_CHECKS), country)
+    return F.coalesce(let(values, lambda vs: F.forall(checks, lambda c: F.coalesce(holds(c, vs), F.lit(False)))), F.lit(True))
+
+
 def siret(x: Column) -> Column:
     """14 digits, without spaces (also U+00A0, U+202F) and a trailing .0; else null."""
     return F.nullif(F.regexp_extract(F.translate(x, "   ", ""), r"^(\d{14})(?:\.0+)?$", 1), F.lit(""))
@@ -55,11 +131,11 @@ def _iban_checks(v: Column) -> Column:
     parts = v.rlike("^[A-Z]{2}[0-9]{12}[0-9A-Z]{11}[0-9]{2}$")
     key = rib_key(F.substring(v, 5, 5), F.substring(v, 10, 5), F.substring(v, 15, 11)) == F.substring(v, 26, 2).try_cast("long")
     whole = mod97(F.concat(F.substring(v, 5, 64), F.substring(v, 1, 4))) == 1
-    return F.when(~shape, F.lit(False)).when(french, F.coalesce(parts & key & whole, F.lit(False))).otherwise(F.coalesce(whole, F.lit(False)))
+    return F.when(~shape, F.lit(False)).when(french, F.coalesce(parts & key & whole, F.lit(False))).otherwise(F.coalesce(whole & national_is_valid(F.substring(v, 1, 2), F.substring(v, 5, 64)), F.lit(False)))
 
 
 def iban_is_valid(x: Column) -> Column:
-    """Shape and length of the country, modulo 97, and the key of French accounts; true for null and empty."""
+    """Shape and length of the country, modulo 97, and the national checks of French and of 22 other countries' accounts; true for null and empty."""
     return F.when(F.coalesce(x, F.lit("")) == "", F.lit(True)).otherwise(_iban_checks(x))
 
 

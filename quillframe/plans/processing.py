@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import count_words
-from ..operators import limits, workflow
+from ..operators import geometry, limits, workflow
 from ..operators import steps as chain
 from ..operators.ranks import scratch_folder
 from .documents import WORDS_SQL
@@ -117,7 +117,18 @@ def step_run_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.join(steps, "batch_id").join(F.broadcast(kinds), "step_type")
 
 
-QUERIES = {f.__name__: f for f in (batch_progress_steps, status_rollup, stuck_batches, cancel_and_retry, step_fan_out, next_step, rate_gate_delays, rate_limit_counts, activity_sessions, step_run, step_run_rollup)}
+def drawing_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings' first two components as drawings on a page a label: each drawing's group and its first one, and the marks of small squares."""
+    rows = read(spark, sf_dir, "embeddings")
+    x = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double") * 200, 3)
+    side = F.when(F.col("vec_id") % 3 == 0, 10.0).when(F.col("vec_id") % 3 == 1, 14.0).otherwise(20.0)
+    drawings = rows.select(F.col("label").alias("page"), F.col("vec_id").alias("i"), x(0).alias("x"), x(1).alias("y"), (F.col("vec_id") % 2).alias("segments"), side.alias("width"), (side + F.col("vec_id") % 4).alias("height"))
+    groups = geometry.claimed(drawings, ["page"], "i")
+    marks = geometry.checkboxes(drawings, ["page"], "i", groups=groups)
+    return groups.join(marks.select("page", "i", "mark"), ["page", "i"], "left").select("page", "i", "leader", "group_no", "mark")
+
+
+QUERIES = {f.__name__: f for f in (batch_progress_steps, status_rollup, stuck_batches, cancel_and_retry, step_fan_out, next_step, rate_gate_delays, rate_limit_counts, activity_sessions, step_run, step_run_rollup, drawing_groups)}
 
 _JOBS = """, jobs AS (SELECT batch_id, job_id, CASE WHEN bool_or(status IN ('PENDING', 'STARTED')) THEN 'STARTED' WHEN bool_or(status = 'FAILURE') THEN 'FAILURE'
   WHEN bool_or(status = 'CANCELLED') THEN 'CANCELLED' WHEN bool_or(status = 'SKIPPED') THEN 'SKIPPED' ELSE 'SUCCESS' END AS status FROM steps GROUP BY ALL),
@@ -152,4 +163,10 @@ ORACLE_SQL = {
   SELECT user_id, call_no, "at", count, count > 5 AS limited FROM r""",
     "activity_sessions": """WITH e AS (SELECT user_id, floor(epoch(ts)) AS s, lag(floor(epoch(ts))) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)
   SELECT user_id, count(*) FILTER (p IS NULL OR s - p >= 86400) AS n_sessions, count(*) AS n_events FROM e GROUP BY user_id""",
+    "drawing_groups": """WITH p AS (SELECT label AS page, vec_id AS i, round(embedding[1]::DOUBLE * 200, 3) AS x, round(embedding[2]::DOUBLE * 200, 3) AS y, vec_id % 2 AS segments, [10, 14, 20][vec_id % 3 + 1] AS w, [10, 14, 20][vec_id % 3 + 1] + vec_id % 4 AS h FROM embeddings WHERE embedding IS NOT NULL),
+  l AS (SELECT page, list({'i': i, 'x': x, 'y': y} ORDER BY i) AS ps FROM p GROUP BY page),
+  g AS (SELECT page, list_reduce(ps, lambda acc, q: CASE WHEN len(list_filter(acc, lambda a: sqrt((a.x - q.x) * (a.x - q.x) + (a.y - q.y) * (a.y - q.y)) <= 10)) > 0 THEN acc ELSE list_append(acc, q) END, ps[1:1]) AS leaders FROM l),
+  c AS (SELECT p.*, list_filter(range(1, len(leaders) + 1), lambda k: sqrt((leaders[k].x - x) * (leaders[k].x - x) + (leaders[k].y - y) * (leaders[k].y - y)) <= 10)[1] AS group_no, leaders FROM p JOIN g USING (page)),
+  s AS (SELECT page, group_no, sum(segments) AS n FROM c GROUP BY ALL)
+  SELECT page, i, leaders[group_no].i AS leader, group_no, CASE WHEN h - w <= 2 AND h * 0.03528 > 0.25 AND h * 0.03528 < 0.5 THEN CASE WHEN n >= 2 THEN '[X]' ELSE '[ ]' END END AS mark FROM c JOIN s USING (page, group_no)""",
 }
