@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
-from . import address, dates, ids, money
+from . import address, dates, files, ids, money, text
 from .binding import let
 
 
@@ -49,6 +49,34 @@ def at_path(v: Column, path: str, kind: str = "string") -> Column:
     return F.transform(items, lambda x: at_path(x, tail.strip("."), kind))
 
 
+def is_by_lot(value: Column) -> Column:
+    """Whether a JSON text is a list whose first item is an object with a numero_lot."""
+    first = F.try_variant_get(F.try_parse_json(value), "$[0]", "variant")
+    return F.coalesce(F.map_contains_key(F.try_variant_get(first, "$", "map<string,variant>"), "numero_lot"), F.lit(False))
+
+
+#: Main fields of a synthesis, by the names that they are shown under.
+MAIN_FIELDS = {"Designation": "libelle", "Descriptif_prestations": "description_detaillee", "Date": "date_prestation", "Prestataire": "prestataire", "SIRET": "siret_prestataire", "Administration": "administration_beneficiaire"}
+
+
+def main_fields(synthesis: Column) -> Column:
+    """The `valeur` of each main field of a synthesis (JSON text): null where the field or its value is not there, empty where the field is no object."""
+    value = F.try_parse_json(synthesis)
+
+    def one(name: str) -> Column:
+        field = F.try_variant_get(value, f"$.{name}", "variant")
+        there = F.map_contains_key(F.try_variant_get(value, "$", "map<string,variant>"), name)
+        is_object = F.schema_of_variant(field).startswith("OBJECT")
+        return F.when(~F.coalesce(there, F.lit(False)), F.lit(None)).when(F.coalesce(is_object, F.lit(False)), F.try_variant_get(field, "$.valeur", "string")).otherwise(F.lit(""))
+
+    return F.struct(*[one(source).alias(name) for name, source in MAIN_FIELDS.items()])
+
+
+def raw_document(id_: Column, name: Column, size: Column) -> Column:
+    """struct(id, name, size) of a document as the service tells it: the name composed, the size as a number or -1."""
+    return F.struct(id_.alias("id"), text.composed(name).alias("name"), files.api_size(size).alias("size"))
+
+
 def extraction_ratio(m: Column) -> Column:
     """Share of a map's values that are neither null nor empty; 0 for an empty map."""
     full = F.size(F.filter(F.map_values(m), lambda x: F.coalesce(x, F.lit("")) != ""))

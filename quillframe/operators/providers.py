@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
-from ..sources.remote import with_retries
+
+from .retries import with_retries
 
 UNKNOWN = "Non classifié"
 
@@ -120,6 +121,19 @@ def spark_type(schema: dict) -> str:
     return {"integer": "bigint", "number": "double", "boolean": "boolean", "null": "void"}.get(kind, "string")
 
 
+def decoded(rows: DataFrame, schema: dict, answer: str = "answer", into: str = "data", error: str = "error") -> DataFrame:
+    """rows with `into`: the answer's JSON by the type that the schema gives, and an error where there was none but the answer is no such object or lacks required fields.
+
+    Text around the object (a model's remarks, a fenced block) is cut off. Null answers stay null.
+    """
+    body = F.regexp_extract(answer, r"(?s)(\{.*\})", 1)
+    value = F.try_parse_json(F.nullif(body, F.lit("")))
+    missing = F.array_compact(F.array(*[F.when(F.try_variant_get(value, f"$['{k}']", "variant").isNull(), F.lit(k)) for k in schema.get("required", [])]))
+    wrong = F.when(F.col(answer).isNotNull() & value.isNull(), "the answer is no JSON object").when(value.isNotNull() & (F.size(missing) > 0), F.concat(F.lit("missing: "), F.array_join(missing, ", ")))
+    data = F.when(value.isNotNull(), F.from_json(body, spark_type(schema)))
+    return rows.withColumns({into: data, error: F.coalesce(F.col(error), wrong) if error in rows.columns else wrong})
+
+
 def page_marked(pages: Column) -> Column:
     """Pages of a scan, each between numbered marks."""
     n = F.size(pages).cast("string")

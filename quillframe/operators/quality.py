@@ -11,8 +11,8 @@ from pyspark.sql.types import BooleanType
 
 from ..functions.compare import Rule, both, exact
 from ..functions.structured import at_path
-from ..sources.remote import with_retries
 from .providers import LanguageModel
+from .retries import with_retries
 
 
 def compared(found: DataFrame, truth: DataFrame, key: str, names: list[str], rules: dict[str, Rule] | None = None) -> DataFrame:
@@ -23,6 +23,12 @@ def compared(found: DataFrame, truth: DataFrame, key: str, names: list[str], rul
     return rows.select(key, F.explode(F.array(*items)).alias("f")).select(key, "f.*")
 
 
+def by_row(found: DataFrame, truth: DataFrame, row: str = "row_id") -> DataFrame:
+    """Both sides of the rows that share a place, as structs found and truth. The place is a column that each side brings along; one that repeats is an error."""
+    once = lambda df, side: df.groupBy(row).agg(F.count("*").alias("n"), F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != row])).alias(side)).withColumn(side, F.when(F.col("n") == 1, F.col(side)).otherwise(F.raise_error(F.concat(F.lit(f"{side} repeats row "), F.col(row).cast("string"))))).drop("n")
+    return once(found, "found").join(once(truth, "truth"), row)
+
+
 def field_value(data: Column, name: str) -> Column:
     """A field of a map of texts; of a path with `*` the JSON list of what the items of the map's JSON list have there."""
     head, star, tail = name.partition(".*.")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .merge import insert_ignore
 from .ranks import numbered, small
+from .retries import with_retries
 
 #: Texts that stand for no value in spreadsheets.
 SENTINELS = ("nan", "#", "")
@@ -73,6 +78,37 @@ def first_ids(rows: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(row_id).alias(row_id))
 
 
+def under_other_key(rows: DataFrame, contracts: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    """Rows whose key is the other key of some contract, once each: another than the contract's own one, and no sentinel."""
+    keys = contracts.where(F.col(other).isNotNull() & ~F.col(other).isin(*SENTINELS) & (F.col(other) != F.col(own))).select(F.col(other).alias(key)).distinct()
+    return rows.join(keys, key, "left_semi")
+
+
+def id_list(rows: DataFrame, row_id: str, most: int = 100_000) -> DataFrame:
+    """The ids of a table, the `most` least of them."""
+    return rows.select(row_id).orderBy(row_id).limit(most)
+
+
+def fetched_by_keys(keys: DataFrame, key: str, fetch: Callable[[list], list[dict]], schema: str, size: int = 100) -> DataFrame:
+    """Rows (of the schema) that fetch gives for batches of `size` distinct keys, each asked for in a task; error is null for them.
+
+    A batch that keeps failing has one row, with its error and nothing else: it is passed over, the others come.
+    """
+    batches = id_batches(keys.select(key).where(F.col(key).isNotNull()).distinct(), key, size).groupBy("batch").agg(F.array_sort(F.collect_list(key)).alias("keys"))
+    whole = StructType.fromDDL(f"{schema}, error string")
+
+    def ask(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for mine in part.column("keys").to_pylist():
+                try:
+                    rows = [{**r, "error": None} for r in with_retries(lambda k=mine: fetch(k))]
+                except Exception as e:  # goes to the batch it concerns
+                    rows = [{"error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in whole} for r in rows], to_arrow_schema(whole))
+
+    return batches.repartition("batch").mapInArrow(ask, whole)
+
+
 def by_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is asked for."""
     return rows.join(keys.select(key).distinct(), key, "left_semi")

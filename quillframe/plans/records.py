@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import structured, text
-from ..operators import extraction, quality, records, retrieval, workflow
+from ..operators import access, extraction, quality, records, retrieval, workflow
 from .documents import WORDS_SQL
 from .tables import STEPS_SQL, read, steps_from_events
 
@@ -245,12 +245,64 @@ def contract_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("l_orderkey", "l_linenumber", "l_partkey", F.date_diff(F.col("l_shipdate").cast("date"), F.col("o_orderdate").cast("date")).alias("days"), day.between(F.col("o_orderdate").cast("date"), F.col("l_shipdate").cast("date")).alias("active"), F.floor(F.col("l_extendedprice") * F.col("l_tax")).alias("tax"))
 
 
+def acl_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether customers as users may see orders as engagements: their own and the next customer's, by superuser, permission and the scopes of their nation's group."""
+    c, o = read(spark, sf_dir, "customer"), read(spark, sf_dir, "orders")
+    users = c.select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 50 == 0).alias("is_superuser"), F.when(F.col("c_custkey") % 7 == 0, F.array(F.lit(access.VIEW))).alias("permissions"))
+    groups = c.select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("group_id"))
+    nations = read(spark, sf_dir, "nation")
+    permissions = nations.where("n_nationkey % 2 = 1").select(F.col("n_nationkey").alias("group_id"), F.lit(access.VIEW).alias("permission"))
+    scopes = nations.select(F.col("n_nationkey").alias("group_id"), F.col("n_regionkey").cast("string").alias("pur_org"), F.explode(F.array(F.lit("O"), F.lit("F"))).alias("pur_group"))
+    engagements = o.select((F.col("o_orderkey") % 5).cast("string").alias("pur_org"), F.col("o_orderstatus").alias("pur_group"), F.col("o_orderkey").alias("num_ej"))
+    pairs = o.select(F.explode(F.array("o_custkey", F.col("o_custkey") + 1)).alias("user_id"), F.col("o_orderkey").alias("num_ej"))
+    return access.may_see(pairs, users, groups, scopes, engagements, permissions)
+
+
+def contract_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose key is the frame contract of another one: customers' keys stand for contracts, some of them sentinels."""
+    o = read(spark, sf_dir, "orders")
+    contracts = o.select(F.col("o_orderkey").cast("string").alias("num_ej"), F.when(F.col("o_orderkey") % 3 == 0, F.lit("#")).when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey").cast("string")).alias("contract"))
+    rows = o.select(F.col("o_orderkey").cast("string").alias("key"), "o_orderstatus")
+    return records.under_other_key(rows, contracts, "key", "num_ej", "contract")
+
+
+def main_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main fields of each customer's synthesis, whose fields are objects, plain texts, null or not there; and whether a list of codes is by lot."""
+    c = read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    name = F.concat(F.lit('"'), F.col("c_name"), F.lit('"'))
+    field = F.when(k % 4 == 0, F.concat(F.lit('{"valeur": '), name, F.lit("}"))).when(k % 4 == 1, name).when(k % 4 == 2, F.lit('{"sources": []}')).otherwise(F.lit("null"))
+    found = structured.main_fields(F.concat(F.lit('{"libelle": '), field, F.lit(', "siret_prestataire": {"valeur": "1"}}')))
+    codes = F.when(k % 3 == 0, F.lit('[{"numero_lot": 1, "code": "x"}]')).when(k % 3 == 1, F.lit('["x", {"numero_lot": 1}]')).otherwise(F.lit('{"numero_lot": 1}'))
+    return c.select("c_custkey", found["Designation"].alias("designation"), found["SIRET"].alias("siret"), found["Date"].alias("date"), structured.is_by_lot(codes).alias("by_lot"))
+
+
+def clean_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested fields of acts, cleaned: contractors, other accounts, the mandatee's account and the duration, from each order."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey").cast("string")
+    digits = F.lpad(k, 14, "1")
+    parties = F.concat(F.lit('[{"nom": "A", "siret": "'), digits, F.lit('"}, {"nom": "", "siret": "1"}, {"nom": "B", "siret": "12 "}]'))
+    accounts = F.concat(F.lit('[{"societe": "s", "rib": {"banque": "b'), k, F.lit('", "iban": "FR14 2004 1010 0505 0001 3M02 606"}}, {"societe": "t", "rib": {"banque": "", "iban": null}}]'))
+    months = F.concat(F.lit('{"duree_initiale": "'), k, F.lit('", "duree_reconduction": null, "nb_reconductions": "0", "delai_tranche_optionnelle": "x"}'))
+    good = F.replace(months, F.lit('"x"'), F.lit("null"))
+    data = F.create_map(F.lit("cotraitants"), parties, F.lit("rib_autres"), accounts, F.lit("rib_mandataire"), F.lit('{"banque": "c", "iban": "no"}'), F.lit("duree"), F.when(F.col("o_orderkey") % 2 == 0, months).otherwise(good), F.lit("other"), k)
+    rows = structured.cleaned(o.select("o_orderkey", F.lit("acte_engagement").alias("kind"), data.alias("data")), "kind", "data")
+    at = lambda name, path: F.get_json_object(F.try_element_at("data", F.lit(name)), path)
+    return rows.select(
+        "o_orderkey", at("cotraitants", "$[0].siret").alias("siret"), at("cotraitants", "$[1].nom").alias("second"), at("cotraitants", "$[1].siret").alias("second_siret"), at("rib_autres", "$[0].rib.iban").alias("iban"),
+        F.json_array_length(F.try_element_at("data", F.lit("rib_autres"))).alias("n_accounts"), at("rib_mandataire", "$.banque").alias("bank"), at("rib_mandataire", "$.iban").alias("bank_iban"), at("duree", "$.duree_initiale").alias("months"),
+        at("duree", "$.error").alias("error"), F.try_element_at("data", F.lit("other")).alias("other"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         null_sentinels, array_contains_filter, prefix_projection, target_or_skipped, displayed_split, suffixed_join, key_documents, job_progress, coverage_counters, scopes_and_bridge, patched_values, id_batches, first_ids,
         set_update, set_edit, sorted_items, backfill_and_rename, bridge_expansion, close_and_retry_stuck, list_as_table, one_field_report, error_list_parse, json_diff, attribute_prompt, clean_by_class, select_content,
         document_contexts, multi_attribute_context, synthesis_prompts, synthesis_values, numbered_copies, contract_days,
+        acl_view, contract_files, main_fields, clean_nested,
     )
 }
 
@@ -314,4 +366,11 @@ ORACLE_SQL = {
   n AS (SELECT o.*, row_number() OVER (PARTITION BY o.stem ORDER BY o_orderkey) - 1 AS n, coalesce(taken, []) AS taken FROM o LEFT JOIN t USING (stem))
   SELECT o_orderkey, CASE WHEN n = 0 THEN stem || '.pdf' ELSE stem || '_' || list_reduce(taken, lambda a, x: CASE WHEN x <= a THEN a + 1 ELSE a END, n) || '.pdf' END AS name FROM n""",
     "contract_days": "SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', o_orderdate::DATE, l_shipdate::DATE)::INT AS days, DATE '1996-06-01' BETWEEN o_orderdate::DATE AND l_shipdate::DATE AS active, floor(l_extendedprice * l_tax)::BIGINT AS tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+    "acl_view": """WITH p AS (SELECT o_custkey + d AS user_id, o_orderkey AS num_ej, o_orderstatus AS s FROM orders, range(2) r(d))
+  SELECT user_id, num_ej, coalesce(c_custkey % 50 = 0 OR ((c_custkey % 7 = 0 OR c_nationkey % 2 = 1) AND n_regionkey = num_ej % 5 AND s IN ('O', 'F')), false) AS visible
+  FROM p LEFT JOIN customer ON c_custkey = user_id LEFT JOIN nation ON n_nationkey = c_nationkey""",
+    "contract_files": """SELECT o_orderkey::VARCHAR AS "key", o_orderstatus FROM orders WHERE o_orderkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_custkey <> o_orderkey)""",
+    "main_fields": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN '' WHEN 3 THEN '' END AS designation, '1' AS siret, NULL::VARCHAR AS date, c_custkey % 3 = 0 AS by_lot FROM customer",
+    "clean_nested": """SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 14, '1') AS siret, 'B' AS second, NULL::VARCHAR AS second_siret, 'FR1420041010050500013M02606' AS iban, 1::INT AS n_accounts, 'c' AS bank, NULL::VARCHAR AS bank_iban,
+  CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey::VARCHAR END AS months, CASE WHEN o_orderkey % 2 = 0 THEN 'delai_tranche_optionnelle is not a number' END AS error, o_orderkey::VARCHAR AS other FROM orders""",
 }

@@ -32,9 +32,16 @@ def delimited(spark: SparkSession, path: str, schema: str, sep: str = ";") -> Da
     return spark.read.schema(schema).option("sep", sep).option("header", True).csv(path)
 
 
-def ground_truth(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A delimited table whose missing texts are empty."""
-    return delimited(spark, path, schema, ",").na.fill("")
+def ground_truth(spark: SparkSession, path: str, schema: str, nested: dict[str, str] | None = None) -> DataFrame:
+    """A delimited table whose missing texts are empty; columns of `nested` are JSON texts, parsed by their schema, null where they are empty or no JSON. Quoted texts may hold lines and quotes."""
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path).na.fill("")
+    return rows.withColumns({c: F.from_json(F.nullif(F.col(c), F.lit("")), kind) for c, kind in (nested or {}).items()})
+
+
+def json_cache(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of a cache file: a JSON list of objects, or one object a line; columns of the schema, all that are there without one."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
 
 
 def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -48,6 +55,28 @@ def relational(spark: SparkSession, url: str, table: str, key: str, low: int, hi
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=partitions, properties=options)
 
 
+def whole_table(spark: SparkSession, url: str, table: str, key: str, partitions: int = 8, quote: str = '"', **options: str) -> DataFrame:
+    """All of a database table in ranges of its numeric key, whose ends the database tells first; no pages, and no row twice or never as pages of a changing table have it.
+
+    quote: what the database puts around names. Rows with a null key come with the first range.
+    """
+    ends = spark.read.jdbc(url, f"(SELECT MIN({quote}{key}{quote}) AS low, MAX({quote}{key}{quote}) AS high FROM {table}) ends", properties=options).first()
+    if ends[0] is None:
+        return spark.read.jdbc(url, table, properties=options)
+    return relational(spark, url, table, key, int(ends[0]), int(ends[1]) + 1, partitions, **options)
+
+
+def selected(spark: SparkSession, url: str, table: str, columns: list[str] | None = None, where: str | None = None, order_by: list[str] | None = None, offset: int = 0, limit: int | None = None, **options: str) -> DataFrame:
+    """Columns of a database table where a condition holds, in an order, without the first `offset` rows and `limit` at most. Spark pushes what the database can do."""
+    rows = spark.read.jdbc(url, table, properties=options)
+    rows = rows if where is None else rows.where(where)
+    if order_by:
+        rows = rows.orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order_by])
+    rows = rows.select(*columns) if columns else rows
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
+
+
 def unzipped(rows: DataFrame) -> DataFrame:
     """file, content to file, parent, content: each row, and the members of archives, nested ones too, under `archive/member`.
 

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-import random
 import re
 import time
-import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
@@ -20,26 +18,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from ..operators.ranks import numbered
+from ..operators.retries import with_retries
 
 ACTIVITY = "alerte string, num_ej string, date_reception timestamp, pur_org string, pur_group string, error string"
 
 
-def with_retries(call, retries: int = 3, busy_delay: float = 60.0, delay: float = 10.0, sleep=time.sleep):
-    """call() again after 429 (busy_delay) and 5xx or network errors (delay), each times the attempt and up to 10 % more; other errors rise."""
-    for attempt in range(1, retries + 2):
-        try:
-            return call()
-        except urllib.error.HTTPError as e:
-            if attempt > retries or (e.code != 429 and e.code < 500):
-                raise
-            pause = busy_delay if e.code == 429 else delay
-        except (urllib.error.URLError, TimeoutError):
-            if attempt > retries:
-                raise
-            pause = delay
-        sleep(pause * (1 + 0.1 * random.random()) * attempt)
-
-
 def odata_filter(start: datetime | None, end: datetime | None, organization: str, group: str) -> str:
     """The remote filter of one scope; bounds that are not asked for are left out, quotes in values doubled."""
     literal = lambda t: f"datetime'{t:%Y-%m-%dT%H:%M:%S}'"
