@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import containers, files, text
+from ..functions.binding import let
 from ..operators import dedup, merge, retrieval, search
 from ..operators.ranks import scratch_folder
 from .tables import read
@@ -171,13 +172,17 @@ def _little(n: F.Column, size: int) -> F.Column:
     return F.unhex(F.concat(*[F.substring(digits, 2 * i + 1, 2) for i in reversed(range(size))]))
 
 
-def _archive(name: str, data: F.Column) -> F.Column:
+def archive(name: str, data: F.Column) -> F.Column:
     """A zip archive of one member, stored as it is."""
-    n, fixed = F.octet_length(data), lambda h: F.lit(bytes.fromhex(h))
-    about = F.concat(fixed("1400" + "00" * 12), _little(n, 4), _little(n, 4), _little(F.lit(len(name)), 2))
-    local = F.concat(fixed("504B0304"), about, fixed("0000"), F.lit(name.encode()), data)
-    central = F.concat(fixed("504B01021400"), about, fixed("00" * 16), F.lit(name.encode()))
-    return F.concat(local, central, fixed("504B0506" + "00" * 4 + "01000100"), _little(F.octet_length(central), 4), _little(F.octet_length(local), 4), fixed("0000"))
+    fixed = lambda h: F.lit(bytes.fromhex(h))
+
+    def built(d: F.Column) -> F.Column:
+        about = F.concat(fixed("1400" + "00" * 8), _little(F.crc32(d), 4), _little(F.octet_length(d), 4), _little(F.octet_length(d), 4), _little(F.lit(len(name)), 2))
+        return let(about, lambda a: let(F.struct(
+            F.concat(fixed("504B0304"), a, fixed("0000"), F.lit(name.encode()), d).alias("local"), F.concat(fixed("504B01021400"), a, fixed("00" * 16), F.lit(name.encode())).alias("central"),
+        ), lambda p: F.concat(p["local"], p["central"], fixed("504B0506" + "00" * 4 + "01000100"), _little(F.octet_length(p["central"]), 4), _little(F.octet_length(p["local"]), 4), fixed("0000"))))
+
+    return let(data, built)
 
 
 def _compound(stream: str) -> bytes:
@@ -192,7 +197,7 @@ def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages inside files of nine kinds: the kind by content, and by the older rules; the members of archives."""
     pages = read(spark, sf_dir, "pages")
     html, media = F.encode("html", "UTF-8"), F.lit(b"application/vnd.oasis.opendocument.text")
-    forms = [_archive("word/document.xml", html), _archive("mimetype", media), _archive("page.html", html), *[F.concat(F.lit(_compound(s)), html) for s in ("WordDocument", "Workbook", "__properties_version1.0")], F.concat(F.lit(b"%PDF-1.7\n"), html), html, F.concat(F.lit(bytes.fromhex("89504E470D0A1A0A")), html)]
+    forms = [archive("word/document.xml", html), archive("mimetype", media), archive("page.html", html), *[F.concat(F.lit(_compound(s)), html) for s in ("WordDocument", "Workbook", "__properties_version1.0")], F.concat(F.lit(b"%PDF-1.7\n"), html), html, F.concat(F.lit(bytes.fromhex("89504E470D0A1A0A")), html)]
     content = F.coalesce(*[F.when(F.col("page_id") % len(forms) == i, f) for i, f in enumerate(forms)])
     rows = pages.select("page_id", content.alias("content"))
     members = F.when(F.col("page_id") % 9 < 3, containers.archive_members(F.col("content")))

@@ -17,7 +17,7 @@ def test_database_reads(spark, tmp_path):
     url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     rows = [(i, f"n{i % 7}", None if i % 11 == 0 else float(i)) for i in range(1, 301)]
     frame = spark.createDataFrame(rows, "id int, name string, value double")
-    frame.write.jdbc(url, "things", properties={"driver": driver})
+    frame.write.option("createTableColumnTypes", "name VARCHAR(20)").jdbc(url, "things", properties={"driver": driver})
     whole = files.whole_table(spark, url, "things", "id", 6, driver=driver)
     assert sorted(tuple(r) for r in whole.collect()) == sorted(rows) and whole.rdd.getNumPartitions() == 6
     part = files.relational(spark, url, "things", "id", 1, 301, 3, driver=driver)
