@@ -172,3 +172,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert "password" not in docs.where("doc_id = 502").first().text
     assert {x.doc_id for x in out.select("doc_id").collect()} == clean
     assert pd.Series([s for s, _ in corpus_pipeline.STAGES]).is_unique
+
+
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    """Repeated rows, one id for several texts, rows without an id or a text, and no rows at all."""
+    import corpus_pipeline
+
+    r = random.Random(9)
+    words = {"en": "the and of that with this from have".split(), "fr": "le la les des une est dans pour".split()}
+    text = lambda lang: " ".join(r.choice(words[lang]) + r.choice(["", "s", "er", "ing"]) for _ in range(90))
+    rows = [(i, text("en" if i % 2 else "fr"), "en" if i % 2 else "fr", "s", 0) for i in range(60)]
+    rows += [(1, rows[1][1], "en", "s", 0), (1, text("en"), "en", "s", 0), (None, text("fr"), "fr", "s", 0), (None, None, "fr", "s", 0), (70, "", None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs, left = spark.createDataFrame(rows, schema), {"language ID": 63, "line dedup": 63, "near-dedup": 62, "secret scan": 62, "packing": 62}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        if name != "packing":
+            out.write.parquet(f"{tmp_path}/{name}")
+            out = docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert out.count() == left[name] if name != "packing" else out.select("doc_id", "doc_tokens", "start").count() >= left[name], name
+    assert sorted(x.doc_id for x in docs.where("doc_id is not null").collect()) == sorted([*range(60), 1])

@@ -424,6 +424,20 @@ def test_passages(spark):
     assert passages.passages(table(spark, rows).limit(0)).count() == 0
 
 
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 80 words with replaced, inserted and dropped words at random, in texts that share nothing else."""
+    rows, rates = [], [rate for rate in (0.05, 0.1, 0.15, 0.18, 0.2) for _ in range(12)]
+    for k, rate in enumerate(rates):
+        r, base = random.Random(k), prose(3000 + k, 80).split()
+        at = set(r.sample(range(80), round(rate * 80)))
+        edited = [x for i, w in enumerate(base) for x in ([w] if i not in at else r.choice(([f"new{i}"], [w, f"more{i}"], [])))]
+        rows += [(2 * k, f"{prose(4000 + k, 60)} {' '.join(base)} {prose(5000 + k, 60)}", "en", "s"), (2 * k + 1, f"{prose(6000 + k, 50)} {' '.join(edited)} {prose(7000 + k, 70)}", "en", "s")]
+    got = {frozenset((x.doc_id, x.source_id)) for x in passages.passages(table(spark, rows)).collect()}
+    found = [frozenset((2 * k, 2 * k + 1)) in got for k in range(len(rates))]
+    assert all(found[:36]) and sum(found[36:]) >= 21  # all down to 0.85 of equal words, nine of ten down to 0.8
+    assert len(got) == sum(found)
+
+
 def test_passages_whose_seeds_have_other_sources(spark):
     first, second, line = prose(701, 32).split(), prose(702, 32).split(), prose(703, 30)
     whole = " ".join(first + second)
