@@ -58,7 +58,7 @@ def safe_name(xs: pd.Series) -> pd.Series:
     """Slashes as underscores, lower-case extension, ASCII but for é è ê à; over 250 characters cut with a mark."""
     import unicodedata
 
-    kept = "éèêàÉÈÊÀ"
+    kept = "éèêàÉÈÊÀ"  # fixed value: the accented letters that stay
 
     def plain(c: str) -> str:
         return c if c in kept or c.isascii() else unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
