@@ -191,5 +191,5 @@ class ChunkIndex:
         if weight < 1:
             postings, stats = inverted_index(rows, "item", "text", stop_words=stop_words)
             lists.append(lexical_search(postings, stats, queries, k * (1 if weight == 0 else 2), "item", stop_words=stop_words))
-        out = hybrid_top_k(*lists, ["query_id"], "item", k, weight) if len(lists) == 2 else lists[0]
+        out = hybrid_top_k(*lists, ["query_id"], "item", k, weight, 2 * k) if len(lists) == 2 else lists[0]
         return out.select("query_id", F.regexp_extract("item", r"(?s)^(.*)#[0-9]+$", 1).alias("doc_id"), F.regexp_extract("item", r"#([0-9]+)$", 1).cast("int").alias("chunk_id"), "score", "rank")
