@@ -140,12 +140,39 @@ def iban_is_valid(x: Column) -> Column:
 
 
 def iban_corrected(x: Column) -> Column:
-    """For 27 characters, the only valid account that one substitution (letters in the first two places, digits elsewhere) gives; else null."""
-    letters, digits = F.split(F.lit("A B C D E F G H I J K L M N O P Q R S T U V W X Y Z"), " "), F.split(F.lit("0 1 2 3 4 5 6 7 8 9"), " ")
-    put = lambda i, c: F.concat(F.substring(x, F.lit(1), i - 1), c, F.substring(x, i + 1, F.lit(64)))
-    tries = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(27)), lambda i: F.transform(F.when(i <= 2, letters).otherwise(digits), lambda c: put(i, c))))
-    good = F.array_distinct(F.filter(tries, lambda v: (v != x) & _iban_checks(v)))
-    return F.when((F.length(x) == 27) & (F.size(good) == 1), F.element_at(good, 1))
+    """For 27 characters, the only valid account that one substitution (letters in the first two places, digits elsewhere) gives; else null.
+
+    As a number modulo 97 the account must be 1, so what stands before and after a place leaves at most one character for it: 27 tries are checked.
+    """
+    return F.when(F.length(x) == 27, let(x, _one_substitution))
+
+
+def _one_substitution(x: Column) -> Column:
+    values = F.transform(F.filter(F.split(F.concat(F.substring(x, 5, 23), F.substring(x, 1, 4)), ""), lambda c: c != ""), lambda c: F.position(c, F.lit(_VALUES)) - 1)
+    power = lambda n: F.get(F.array(*[F.lit(pow(10, k, 97)) for k in range(96)]), n % 96)
+    start = F.struct(F.lit(0).alias("rest"), F.lit(0).alias("digits"), F.expr("cast(array() as array<struct<rest: int, digits: int>>)").alias("all"))
+
+    def before(acc: Column, v: Column) -> Column:
+        all_ = F.array_append(acc["all"], F.struct(acc["rest"].alias("rest"), acc["digits"].alias("digits")))
+        return F.struct(F.pmod(acc["rest"] * F.when(v > 9, 100).otherwise(10) + v, F.lit(97)).alias("rest"), F.lit(0).alias("digits"), all_.alias("all"))
+
+    def after(acc: Column, v: Column) -> Column:
+        all_ = F.array_append(acc["all"], F.struct(acc["rest"].alias("rest"), acc["digits"].alias("digits")))
+        return F.struct(F.pmod(acc["rest"] + v * power(acc["digits"]), F.lit(97)).alias("rest"), (acc["digits"] + F.when(v > 9, 2).otherwise(1)).alias("digits"), all_.alias("all"))
+
+    def tried(at: Column, sides: Column) -> Column:
+        """The account with the one character that place `at` (from 0, the first four places last) can have; null for none."""
+        low, high = F.get(sides["before"], at), F.element_at(sides["after"], -1 - at)
+        place = F.when(at < 23, at + 5).otherwise(at - 22)
+        wide = F.when(place <= 2, 100).otherwise(10)
+        value = F.pmod((1 - high["rest"]) * power(96 - high["digits"] % 96) - low["rest"] * wide, F.lit(97))
+        fits = F.when(place <= 2, (value >= 10) & (value <= 35)).otherwise(value <= 9)
+        return F.when(fits, F.concat(F.substring(x, F.lit(1), place - 1), F.substring(F.lit(_VALUES), value + 1, F.lit(1)), F.substring(x, place + 1, F.lit(64))))
+
+    sides = let(values, lambda vs: F.struct(F.aggregate(vs, start, before, lambda a: a["all"]).alias("before"), F.aggregate(F.reverse(vs), start, after, lambda a: a["all"]).alias("after")))
+    tries = let(sides, lambda s: F.transform(F.sequence(F.lit(0), F.lit(26)), lambda at: tried(at, s)))
+    good = F.array_distinct(F.filter(tries, lambda v: F.coalesce((v != x) & _iban_checks(v), F.lit(False))))
+    return let(good, lambda g: F.when(F.size(g) == 1, F.element_at(g, 1)))
 
 
 def iban(x: Column) -> Column:

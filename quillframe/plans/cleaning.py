@@ -57,7 +57,8 @@ def iban_mod97(spark: SparkSession, sf_dir: str) -> DataFrame:
 def iban_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers with one wrong digit come back where no other substitution is valid too; spaced lower-case ones are cleaned."""
     wrong = F.concat(F.substring("iban", 1, 10), F.pmod(F.substring("iban", 11, 1).cast("int") + 3, F.lit(10)).cast("string"), F.substring("iban", 12, 16))
-    rows = _accounts(spark, sf_dir)
+    # a row takes far more time than its bytes let Spark's splits expect
+    rows = _accounts(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
     return rows.select("c_custkey", ids.iban(wrong).alias("corrected"), (ids.iban(F.lower(ids.in_groups(F.col("iban"), 4))) == F.col("iban")).alias("cleaned"))
 
 
