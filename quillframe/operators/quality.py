@@ -32,10 +32,17 @@ def by_row(found: DataFrame, truth: DataFrame, row: str = "row_id") -> DataFrame
 def field_value(data: Column, name: str) -> Column:
     """A field of a map of texts; of a path with `*` the JSON list of what the items of the map's JSON list have there."""
     head, star, tail = name.partition(".*.")
-    if not star:
-        return F.try_element_at(data, F.lit(name))
-    items = at_path(F.try_parse_json(F.try_element_at(data, F.lit(head))), f"*.{tail}", "variant")
-    return F.to_json(items, {"ignoreNullFields": "false"})
+    return values_at(items_of(data, head), tail) if star else F.try_element_at(data, F.lit(name))
+
+
+def items_of(data: Column, head: str) -> Column:
+    """The items of a map's JSON list. As a column of its own it is parsed once for all values_at() of it."""
+    return F.try_variant_get(F.try_parse_json(F.try_element_at(data, F.lit(head))), "$", "array<variant>")
+
+
+def values_at(items: Column, tail: str) -> Column:
+    """The JSON list of what items_of() have at a path."""
+    return F.to_json(F.transform(items, lambda x: at_path(x, tail, "variant")), {"ignoreNullFields": "false"})
 
 
 def compared_by_class(found: DataFrame, truth: DataFrame, key: str, kind: str, data: str, rules: dict[str, dict[str, Rule]]) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import address, dates, ids, money, structured, text
 from ..functions import compare
 from ..functions.compare import contained, exact, same_multiset
 from ..operators import quality
-from .tables import read
+from .tables import dealt, read
 
 
 def amount_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,7 @@ def multiset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contractor_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contractors of an order's lines, found in another order, case and accents, some missing or with another siret: matched one to one, and contained."""
-    lines = read(spark, sf_dir, "lineitem")
+    lines = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), "l_orderkey")
     siret = F.lpad(F.col("l_suppkey").cast("string"), 14, "0")
     truth = F.struct(F.concat(F.lit("Société Générale d'Été "), F.col("l_suppkey").cast("string")).alias("nom"), siret.alias("siret"))
     wrong = (F.col("l_partkey") % 11 == 0) & (F.col("l_linenumber") == 2)
@@ -162,7 +162,7 @@ def contractor_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tolerant_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities of an order's lines against those of its lines one on: pairs within 10 that are taken in order, so that an early choice can spoil a later one."""
-    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: x["l_quantity"]).alias("b"))
+    rows = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), "l_orderkey").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: x["l_quantity"]).alias("b"))
     near = compare.matched(lambda x, y: F.abs(x - y) <= 10)
     turned = F.concat(F.slice("b", 2, F.size("b")), F.slice("b", 1, 1))
     return rows.select("l_orderkey", near(F.transform(turned, lambda x: x + 6), F.col("b")).alias("matched"))
@@ -170,21 +170,23 @@ def tolerant_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lots_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lots made of an order's lines against lots with a changed title, form, duration or amount, by the rules of their class."""
-    lines = read(spark, sf_dir, "lineitem")
-    n, key = F.col("l_linenumber"), F.col("l_partkey")
+    lines = dealt(read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k")), "l_orderkey")
 
-    def lot(changed: bool) -> F.Column:
+    def lot(changed: bool, n: F.Column, key: F.Column) -> F.Column:
         other = lambda c, x, y: F.when(c, y).otherwise(x) if changed else x
         title = other(F.lit(True), F.concat(F.lit("Lot n° "), n.cast("string"), F.lit(" - Été")), F.concat(F.lit("LOT N "), n.cast("string"), other(key % 5 == 0, F.lit("  ETE"), F.lit(" HIVER"))))
         form = F.struct(F.lit("simple").alias("structure"), other(key % 6 == 0, F.lit(None).cast("string"), F.lit("deux")).alias("tranches"), F.lit("forfaitaire").alias("forme_prix"), F.lit("1").alias("attributaires"))
         amount = F.struct(n.cast("string").alias("numero_lot"), other(key % 8 == 0, F.lit("10.00"), F.lit("11.00")).alias("montant_ht_maximum"), F.lit("max").alias("type_montant"))
-        return F.struct(n.alias("n"), key.alias("k"), F.struct(title.alias("titre"), form.alias("forme"), other(key % 7 == 0, F.lit("12 mois"), F.lit("6 mois")).alias("duree_lot"), amount.alias("montant_ht")).alias("lot"))
+        return F.struct(title.alias("titre"), form.alias("forme"), other(key % 7 == 0, F.lit("12 mois"), F.lit("6 mois")).alias("duree_lot"), amount.alias("montant_ht"))
 
-    side = lambda changed: F.create_map(F.lit("lots"), F.to_json(F.transform(F.array_sort(F.collect_list(lot(changed)), lambda x, y: F.when((x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["k"] < y["k"])), -1).when((x["n"] == y["n"]) & (x["k"] == y["k"]), 0).otherwise(1)), lambda x: x["lot"]), {"ignoreNullFields": "false"}))
-    rows = lines.groupBy("l_orderkey").agg(side(False).alias("a"), side(True).alias("b"))
+    # both sides are made of one sorted list; their parsed lots and each field's value are columns, so that they are worked out once for all that looks at them
+    side = lambda changed: F.create_map(F.lit("lots"), F.to_json(F.transform("items", lambda x: lot(changed, x["n"], x["k"])), {"ignoreNullFields": "false"}))
+    rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "k"))).alias("items")).select("l_orderkey", side(False).alias("a"), side(True).alias("b"))
     rules = {k: v for k, v in compare.REGISTRY["ccap"].items() if k.startswith("lots.")}
-    value = quality.field_value
-    return rows.select("l_orderkey", *[rule(value(F.col("a"), k), value(F.col("b"), k)).alias(k.rpartition(".")[2]) for k, rule in rules.items()])
+    name = lambda k: k.rpartition(".")[2]
+    items = rows.select("l_orderkey", *[quality.items_of(F.col(s), "lots").alias(s) for s in "ab"])
+    values = items.select("l_orderkey", *[quality.values_at(F.col(s), name(k)).alias(f"{s} {name(k)}") for k in rules for s in "ab"])
+    return values.select("l_orderkey", *[rule(F.col(f"a {name(k)}"), F.col(f"b {name(k)}")).alias(name(k)) for k, rule in rules.items()])
 
 
 #: Truth, an equal value in another form, and another value, of the fields that are not plain texts.

@@ -10,6 +10,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key, over four tasks a core at least: where a row takes far more time than its bytes let Spark expect."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def steps_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as steps: a user is a batch, ten events (by id) of a user a job, the type stands for status."""
     e = read(spark, sf_dir, "events")
