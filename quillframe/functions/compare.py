@@ -92,28 +92,39 @@ def of_json(schema: str, rule: Rule, folded: bool = False) -> Rule:
     return both(bound, _no_text)
 
 
+def _no_items(x: Column) -> Column:
+    return F.coalesce(F.size(x) == 0, F.lit(True))
+
+
 def matched(rule: Rule) -> Rule:
     """Two lists whose items pair up one to one: each item of the second, in order, takes the first item of the first that is still free and
     fits by the rule; all must find one, and none may be left. The rule needs to be no equivalence: what an item takes depends on the order.
     """
 
     def pair_up(a: Column, b: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(a) - 1)
-        free = lambda used, item: F.get(F.filter(places, lambda i: ~F.array_contains(used, i) & F.coalesce(rule(F.get(a, i), item), F.lit(False))), F.lit(0))
-        start = F.struct(F.expr("cast(array() as array<int>)").alias("used"), F.lit(True).alias("fine"))
+        def take(left: Column, item: Column) -> Column:
+            first = F.array_position(F.transform(left, lambda x: F.coalesce(rule(x, item), F.lit(False))), F.lit(True))
+            return let(first, lambda at: F.when(at > 0, F.filter(left, lambda _, i: i != at - 1)))  # null: an item found none
+
+        return (F.size(a) == F.size(b)) & F.aggregate(b, a, take).isNotNull()
+
+    return both(pair_up, _no_items)
+
 
-        def take(acc: Column, item: Column) -> Column:
-            found = F.when(acc["fine"], free(acc["used"], item))
-            return F.struct(F.when(found.isNotNull(), F.array_append(acc["used"], found)).otherwise(acc["used"]).alias("used"), found.isNotNull().alias("fine"))
+def matched_by(key: Callable[[Column], Column]) -> Rule:
+    """As matched, where items fit if their keys are equal texts: any order gives the same, so sorted keys are compared."""
+    keys = lambda x: F.array_sort(F.transform(x, key))
+    return both(lambda a, b: (F.size(a) == F.size(b)) & (keys(a) == keys(b)), _no_items)
 
-        return (F.size(a) == F.size(b)) & F.aggregate(b, start, take, lambda acc: acc["fine"])
 
-    return both(pair_up, lambda x: F.coalesce(F.size(x) == 0, F.lit(True)))
+def each_in_by(key: Callable[[Column], Column]) -> Rule:
+    """As each_in, where items fit if their keys are equal texts."""
+    return both(lambda a, b: F.size(F.array_except(F.transform(a, key), F.transform(b, key))) == 0, _no_items)
 
 
 def each_in(rule: Rule) -> Rule:
     """Every item of the first list fits some item of the second; items that the first lacks do no harm."""
-    return both(lambda a, b: F.forall(a, lambda x: F.exists(b, lambda y: F.coalesce(rule(x, y), F.lit(False)))), lambda x: F.coalesce(F.size(x) == 0, F.lit(True)))
+    return both(lambda a, b: F.forall(a, lambda x: F.exists(b, lambda y: F.coalesce(rule(x, y), F.lit(False)))), _no_items)
 
 
 def positional(a: Column, b: Column) -> Column:
@@ -145,6 +156,16 @@ def contractor(a: Column, b: Column) -> Column:
     return (plain_ascii(a["nom"]) == plain_ascii(b["nom"])) & exact(a["siret"], b["siret"])
 
 
+def contractor_key(x: Column) -> Column:
+    """Equal for what contractor takes for one."""
+    return F.concat(plain_ascii(x["nom"]), F.lit("/"), F.coalesce(x["siret"], F.lit("")))
+
+
+def account_key(x: Column) -> Column:
+    """Equal for what mandatee_account takes for one."""
+    return F.when(_empty(x["iban"]).isNotNull(), F.concat(F.lit("iban/"), plain_ascii(x["iban"]))).otherwise(F.concat(F.lit("bank/"), plain_ascii(x["banque"])))
+
+
 def annexes(a: Column, b: Column) -> Column:
     """Whether amounts are in an annex, and the classes of it in any order."""
     x, y = a["classification"], b["classification"]
@@ -166,9 +187,9 @@ _POSTAL = ("numero_voie", "nom_voie", "complement_adresse", "code_postal", "vill
 postal = of_json(_of(_POSTAL), fields(_POSTAL, lambda a, b: _line(a) == _line(b)), folded=True)
 months = of_json(_of(_DURATION), duration)
 account = of_json(_ACCOUNT, mandatee_account, folded=True)
-co_contractors = of_json(f"array<{_PARTY}>", matched(contractor), folded=True)
-sub_contractors = of_json(f"array<{_PARTY}>", each_in(contractor), folded=True)
-other_accounts = of_json(f"array<struct<societe:string,rib:{_ACCOUNT}>>", matched(lambda a, b: mandatee_account(a["rib"], b["rib"])), folded=True)
+co_contractors = of_json(f"array<{_PARTY}>", matched_by(contractor_key), folded=True)
+sub_contractors = of_json(f"array<{_PARTY}>", each_in_by(contractor_key), folded=True)
+other_accounts = of_json(f"array<struct<societe:string,rib:{_ACCOUNT}>>", matched_by(lambda x: account_key(x["rib"])), folded=True)
 #: As the harness has it: the rule reads bank and number beside `rib`, where they never are, so lists of one length are equal.
 other_accounts_by_size = of_json("array<string>", lambda a, b: F.size(a) == F.size(b))
 amounts_in_annex = of_json("struct<`annexe_financière`:string,classification:array<string>>", annexes)
