@@ -15,6 +15,10 @@ from .providers import LanguageModel
 from .retries import with_retries
 
 
+#: Keys, each with the maps of both sides, that one task joins about.
+PER_TASK = 20_000
+
+
 def compared(found: DataFrame, truth: DataFrame, key: str, names: list[str], rules: dict[str, Rule] | None = None) -> DataFrame:
     """key, position, field, match: a row for each field of the keys that both sides have."""
     rules = rules or {}
@@ -49,8 +53,13 @@ def compared_by_class(found: DataFrame, truth: DataFrame, key: str, kind: str, d
     """key, kind, position, field, match: a row for each field of the class of each key that both sides have; the class is the truth's.
 
     data: map of texts (nested values as JSON). Classes without rules and null classes have no rows; null maps are empty.
+    The join has a task for every PER_TASK keys, so that what one sorts doesn't grow with the tables.
     """
-    rows = found.select(key, F.col(data).alias("__a")).join(truth.select(key, kind, F.col(data).alias("__b")), key)
+    mine, theirs = found.select(key, F.col(data).alias("__a")), truth.select(key, kind, F.col(data).alias("__b"))
+    tasks = -(-max(mine.select(key).agg(F.count("*")).first()[0], theirs.select(key).agg(F.count("*")).first()[0]) // PER_TASK)
+    if tasks > int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        mine, theirs = mine.repartition(tasks, key), theirs.repartition(tasks, key)
+    rows = mine.join(theirs, key)
     parts = []
     for name, fields in rules.items():
         mine = rows.where(F.col(kind) == name)
