@@ -15,6 +15,7 @@ from ..functions.text import chunks
 from .providers import Embedder, embedded
 from .ranks import small, written
 from .retrieval import hybrid_top_k, terms, tfidf
+from .term_sums import term_hashes, term_sums
 
 #: Characters of a text that are indexed, and of the one chunk that stands in where cutting fails.
 MOST_CHARS, FALLBACK_CHARS = 1_000_000, 5000
@@ -32,11 +33,27 @@ def inverted_index(rows: DataFrame, key: str, text: str, folder: str | None = No
     found = tfidf(rows, [key], text, **options).select("term", key, "weight")
     postings = found.repartitionByRange("term", F.desc("weight"), key).sortWithinPartitions("term", F.desc("weight"))
     postings = written(postings, "postings") if folder is None else _saved(postings, f"{folder}/postings")
-    stats = postings.groupBy("term").agg(F.max("weight").alias("peak"), F.count("*").alias("df"))
-    stats = stats.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"), "peak", "df")
+    stats = _stats(postings, n)
     return postings, written(stats, "terms") if folder is None else _saved(stats, f"{folder}/terms")
 
 
+def asked_index(rows: DataFrame, key: str, text: str, queries: DataFrame, query: str = "query", **options) -> tuple[DataFrame, DataFrame]:
+    """Postings and terms as those of inverted_index(), of the terms of `queries` alone: all that a search of them looks up.
+
+    All terms of all rows are counted, and their weights' lengths are over all of them; only postings that no query asks for are not written.
+    """
+    rows = rows.where(F.col(text).isNotNull()).select(key, text)
+    terms = written(term_hashes(queries, query, options.get("stop_words", ())), "terms")
+    found = term_sums(rows, [key], text, wanted=terms, **options)
+    postings = written(found.join(small(terms), ["h", "g"]).select("term", key, "weight"), "postings")
+    return postings, written(_stats(postings, rows.count()), "terms")
+
+
+def _stats(postings: DataFrame, n: int) -> DataFrame:
+    stats = postings.groupBy("term").agg(F.max("weight").alias("peak"), F.count("*").alias("df"))
+    return stats.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"), "peak", "df")
+
+
 def _saved(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -189,7 +206,7 @@ class ChunkIndex:
             found = vector_search(rows, vectors, k * (1 if weight == 1 else 2), "item", "embedding")
             lists.append(found.select("query_id", "item", (-F.col("distance")).alias("score"), "rank"))
         if weight < 1:
-            postings, stats = inverted_index(rows, "item", "text", stop_words=stop_words)
+            postings, stats = asked_index(rows, "item", "text", queries, stop_words=stop_words)
             lists.append(lexical_search(postings, stats, queries, k * (1 if weight == 0 else 2), "item", stop_words=stop_words))
         out = hybrid_top_k(*lists, ["query_id"], "item", k, weight, 2 * k) if len(lists) == 2 else lists[0]
         return out.select("query_id", F.regexp_extract("item", r"(?s)^(.*)#[0-9]+$", 1).alias("doc_id"), F.regexp_extract("item", r"#([0-9]+)$", 1).cast("int").alias("chunk_id"), "score", "rank")
