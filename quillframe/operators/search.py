@@ -92,8 +92,9 @@ def lexical_search(postings: DataFrame, stats: DataFrame, queries: DataFrame, k:
     left = bounds.groupBy(query).agg(F.sum(F.when(~F.col("essential"), F.col("bound")).otherwise(0.0)).alias("rest"), F.max("floor").alias("floor"))
     near = of(True).groupBy(query, key).agg(F.sum("part").alias("part")).join(left, query).where(F.col("part") + F.col("rest") >= F.col("floor") - 1e-6)
     near = written(near.select(query, key, "part"), "candidates")
-    more = of(False).join(near.select(query, key), [query, key], "left_semi")
-    scored = near.unionByName(more).groupBy(query, key).agg(F.round(F.sum("part"), places).alias("score"))
+    # a row's parts are added up before they move; rows that are no candidates go after that
+    parts = near.withColumn("near", F.lit(True)).unionByName(of(False).withColumn("near", F.lit(False)))
+    scored = parts.groupBy(query, key).agg(F.round(F.sum("part"), places).alias("score"), F.max("near").alias("near")).where("near").drop("near")
     return scored.withColumn("rank", _rank(query, key)).where(F.col("rank") <= k).select(query, key, "score", "rank")
 
 
